@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from timbrel.llm import exact_dedup
+from timbrel.llm import exact_dedup, ngram_join
 
-QUERIES = {"op4_exact_dedup": exact_dedup.op4_exact_dedup}
+QUERIES = {
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
+}
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
