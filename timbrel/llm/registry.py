@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from timbrel.llm import exact_dedup, ngram_join
+from timbrel.llm import exact_dedup, ngram_join, quality
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
 }
