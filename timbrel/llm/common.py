@@ -76,6 +76,16 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bucket_bits(rows: int, most: int = 2000) -> int:
+    """Bits of a hash, so that buckets of ``rows`` rows have about ``most`` rows at most."""
+    return max(1, (max(1, rows) // most).bit_length())
+
+
+def hash_bucket(code: Column, bits: int) -> Column:
+    """The upper bits of a 64-bit hash."""
+    return F.shiftrightunsigned(code, 64 - bits)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, rank: str = "rank") -> DataFrame:
     """0-based rank of each row within ``keys``, by (bucket, order). ``bucket`` is a long that splits a hot key into
     windows of bounded size; rows of a smaller bucket come first. Only counts by (keys, bucket) are gathered by key."""
