@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from timbrel.llm import exact_dedup, ngram_join, quality, toxicity, url_filter
+from timbrel.llm import exact_dedup, mixing, ngram_join, packing, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL}
