@@ -100,6 +100,17 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
     return joined.select(*df.columns, (F.col("_start") + F.col("_inside")).cast("long").alias(rank))
 
 
+#: Up to so many ids (8 bytes each) are broadcast; beyond, the join is shuffled.
+BROADCAST_IDS = 250_000
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (doc_id), and those whose doc_id is null: no decision names them."""
+    ids = materialize(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "ids")
+    kept = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select(docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def byte_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string or binary array, and the n + 1 offsets into them; null is empty."""
     if isinstance(column, pa.ChunkedArray):

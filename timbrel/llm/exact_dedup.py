@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import byte_texts, documents, materialize, small_batches
+from timbrel.llm.common import byte_texts, documents, keep_ids, materialize, small_batches
 
 BLOCK_BYTES = 4096
 
@@ -129,8 +129,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` (unique doc_id) that stay, with their columns."""
-    kept = exact_dedup(docs.select("doc_id", "text"), block_bytes).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return keep_ids(docs, exact_dedup(docs.select("doc_id", "text"), block_bytes).filter("kept"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

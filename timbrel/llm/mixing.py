@@ -24,7 +24,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import bucket_bits, documents, hash_bucket, ranked
+from timbrel.llm.common import bucket_bits, documents, hash_bucket, keep_ids, ranked
 
 PERIOD = 4096
 BLOCK_DOCS = 8
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
 
 def take_mix(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """The rows of ``docs`` (unique doc_id) that the mix selects, with their columns."""
-    return docs.join(mix(docs, weights).filter("selected").select("doc_id"), "doc_id", "left_semi")
+    return keep_ids(docs, mix(docs, weights).filter("selected"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,12 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import byte_texts, documents, materialize, release, small_batches, steps
+from timbrel.llm.common import BROADCAST_IDS, byte_texts, documents, keep_ids, materialize, release, small_batches, steps
 from timbrel.llm.components import components
 from timbrel.llm.shingles import mix, shingle_sets
 
-#: Up to so many candidate ids (8 bytes each) are broadcast; beyond, the join is shuffled.
-BROADCAST_IDS = 250_000
 #: Comparisons of one set that stay in one task.
 FAN = 64
 #: Digests that a task remembers, to give out the signatures of equal sets once.
@@ -237,7 +235,7 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 def keep_one_of_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` (unique doc_id) that are the smallest of their class, with their columns."""
     classes = similar_classes(docs.select("doc_id", "text"), k, num, den)
-    return docs.join(classes.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    return keep_ids(docs, classes.filter("doc_id = component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,15 +155,17 @@ def fit(rows: list[tuple[bytes, int]], share: float, epochs: int = 8, seed: int
     return w
 
 
+def _values(w: dict[str, np.ndarray] | float, part: pa.RecordBatch) -> np.ndarray:
+    if isinstance(w, float) or not part.num_rows:
+        return np.full(part.num_rows, w if isinstance(w, float) else 0.0)
+    return 1 / (1 + np.exp(-_forward(w, *byte_texts(part.column("text"))).astype(np.float64)))
+
+
 def _score(w: dict[str, np.ndarray] | float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text", 1 << 19):
-                if isinstance(w, float):
-                    score = np.full(part.num_rows, w)
-                else:
-                    score = 1 / (1 + np.exp(-_forward(w, *byte_texts(part.column("text"))).astype(np.float64)))
-                yield pa.record_batch([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(_values(w, part))], names=["doc_id", "score"])
 
     return run
 
@@ -182,10 +184,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def _keep(w: dict[str, np.ndarray] | float, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", 1 << 19):
+                yield part.filter(pa.array(_values(w, part) >= threshold))
+
+    return run
+
+
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` (unique doc_id) whose score reaches ``threshold``, with their columns."""
-    kept = classify(docs, labels, threshold).filter("predicted = 1").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of ``docs`` whose score reaches ``threshold``, with their columns."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_keep(fit(*sample(docs, labels, "quality", SAMPLE, SAMPLE_BYTES)), threshold), docs.schema)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

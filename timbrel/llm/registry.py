@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from timbrel.llm import exact_dedup, license_scan, media, mixing, ngram_join, packing, quality, toxicity, url_filter, wavelet
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_wavelet_tokens": wavelet.op8_wavelet_tokens,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_media_columns": media.op10_media_columns,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL}
