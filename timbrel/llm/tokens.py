@@ -3,12 +3,15 @@
 Both vocabularies split a text before any merge, and no piece goes on past ASCII white space: it only begins with it (byte
 BPE) or white space is dropped (word BPE). So a text's ids are those of its chunks in order, a chunk being a run of other
 bytes, with the white space before it for byte BPE. Chunks repeat, so each distinct one of a step is encoded once, and
-lately seen ones are remembered. Texts with white space outside ASCII are encoded whole.
+ones seen again are remembered. New chunks are encoded many in one text where the ids show which chunk they belong to: in
+byte BPE by the space that begins a chunk, in word BPE by the word ends of a chunk whose words can be counted. Texts with
+white space outside ASCII are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +21,12 @@ from timbrel.llm.common import byte_texts, steps
 
 END = 0
 #: Chunks that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
+#: Chunks in one text.
+JOINED = 4096
+
+#: Chunks of one word, or of one word and one run of signs, whatever the vocabulary; none of the letters is composed anew.
+_ONE_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -58,11 +66,24 @@ class Encoder:
 
     def __init__(self, path: str, space: bool):
         self.tokenizer, self.space = load(path), space
+        size = self.tokenizer.get_vocab_size()
+        pieces = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.marked = np.array([x.startswith("Ġ") if space else x.endswith("</w>") for x in pieces])
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        """Keeps the chunks that were seen again."""
+        again = getattr(self, "seen", np.zeros(0, np.int64)) > 1
+        if not again.any() or again.sum() > REMEMBERED // 2:
+            self.number: dict[bytes, int] = {}
+            self.at, self.ids, self.seen = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            return
+        place = np.cumsum(again) - 1
+        self.number = {c: int(place[i]) for c, i in self.number.items() if again[i]}
+        size = np.diff(self.at)
+        self.ids = self.ids[np.repeat(again, size)]
+        self.at = np.concatenate([[0], np.cumsum(size[again])])
+        self.seen = np.ones(len(self.at) - 1, np.int64)
 
     def _direct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,18 +91,46 @@ class Encoder:
         np.cumsum([len(x) for x in found], out=at[1:])
         return np.array([i for x in found for i in x], np.uint32), at
 
+    def _marks(self, chunk: str) -> int:
+        """How many marked ids a chunk has, or 0 if that isn't known."""
+        if self.space:
+            return int(chunk[0] == " " and len(chunk) > 1 and not chunk[1].isspace() and "<|" not in chunk)
+        found = _ONE_WORD.fullmatch(chunk)
+        return 0 if found is None or "<|" in chunk else 2 if found[2] else 1
+
+    def _joined(self, chunks: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _direct, of chunks with known marks."""
+        texts = [("" if self.space else " ").join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
+        ids, _ = self._direct(texts)
+        marked = np.flatnonzero(self.marked[ids])
+        if len(marked) != marks.sum():
+            return self._direct(chunks)
+        # A chunk begins at its mark in byte BPE, and ends behind its last one in word BPE.
+        last = marked[np.cumsum(marks) - 1] if len(marks) else marked
+        return ids, np.append(last, len(ids)) if self.space else np.concatenate([[0], last + 1])
+
     def _numbers(self, chunks: list[bytes]) -> np.ndarray:
         """The place of each distinct chunk among the remembered ones."""
         if len(self.number) + len(chunks) > REMEMBERED:
             self._forget()
         new = [c for c in chunks if c not in self.number]
         if new:
-            ids, at = self._direct([c.decode(errors="replace") for c in new])
-            for i, c in enumerate(new, len(self.number)):
-                self.number[c] = i
-            self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
-            self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter((self.number[c] for c in chunks), np.int64, len(chunks))
+            texts = [c.decode(errors="replace") for c in new]
+            marks = np.array([self._marks(t) for t in texts])
+            for plain in (True, False):
+                pick = np.flatnonzero((marks > 0) == plain)
+                if not len(pick):
+                    continue
+                some = [texts[i] for i in pick.tolist()]
+                ids, at = self._joined(some, marks[pick]) if plain else self._direct(some)
+                for n, i in enumerate(pick.tolist(), len(self.number)):
+                    self.number[new[i]] = n
+                self.at = np.concatenate([self.at, self.at[-1] + at[1:] - at[0]])
+                self.ids = np.concatenate([self.ids, ids])
+            self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        numbers = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        self.seen[numbers] += 1
+        return numbers
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by the end id, and the n + 1 offsets."""
@@ -100,7 +149,10 @@ class Encoder:
             stop = inside.copy()
             stop[:-1] &= ~inside[1:]
             stop[edge - 1] |= inside[edge - 1]
-            cuts = np.unique(np.concatenate([np.flatnonzero(stop) + 1, ends]))
+            cut = np.zeros(len(data) + 1, bool)
+            cut[1:] = stop
+            cut[ends] = True
+            cuts = np.flatnonzero(cut)
             low, high = cuts[:-1], cuts[1:]
             keys = pa.Array.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(texts)])
         else:
@@ -112,27 +164,30 @@ class Encoder:
             at = np.zeros(len(low) + 1, np.int64)
             np.cumsum(high - low, out=at[1:])
             keys = pa.Array.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[inside]))])
-        doc = np.searchsorted(ends, low, "right") - 1
+        chunk_at = np.searchsorted(low, ends)
+        chunk_at[-1] = len(low)
+        doc = np.repeat(np.arange(n), np.diff(chunk_at))
         if len(low):
             coded = keys.dictionary_encode()
             number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         else:
             number = np.zeros(0, np.int64)
-        size = self.at[number + 1] - self.at[number]
+        from_id = self.at[number]
+        size = self.at[number + 1] - from_id
         direct, direct_at = (self._direct([texts[ends[d] : ends[d + 1]].decode(errors="replace") for d in whole]) if len(whole) else (None, np.zeros(1, np.int64)))
         if len(whole):
             size[np.isin(doc, whole)] = 0
-        count = np.bincount(doc, size, n).astype(np.int64)
+        total = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        count = np.diff(total[chunk_at])
         count[whole] = np.diff(direct_at)
         out_at = np.zeros(n + 1, np.int64)
         np.cumsum(count + 1, out=out_at[1:])
         out = np.full(int(out_at[-1]), END, np.uint32)
-        before = np.cumsum(size) - size
-        first = np.zeros(n, np.int64)
-        some, place = np.unique(doc, return_index=True)
-        first[some] = before[place]
-        steps_in = np.arange(int(size.sum())) - np.repeat(before, size)
-        out[np.repeat(out_at[:-1][doc] + before - first[doc], size) + steps_in] = self.ids[np.repeat(self.at[number], size) + steps_in]
+        # Ids follow each other but for the end ids and the texts encoded whole.
+        order = np.arange(int(total[-1]))
+        shift = (out_at[:-1] - total[chunk_at[:-1]])[doc]
+        out[order + np.repeat(shift, size)] = self.ids[order + np.repeat(from_id - total[:-1], size)]
         for i, d in enumerate(whole.tolist()):
             out[out_at[d] : out_at[d + 1] - 1] = direct[direct_at[i] : direct_at[i + 1]]
         return out, out_at
