@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbrel import constants as C
+from timbrel.formats import engine
 from timbrel.functions import severity as S
 from timbrel.operators import correlation, detectors, windows
+from timbrel.operators.lines import fold, last
 from timbrel.plans import inference, state, summary
 from timbrel.sources import adapters
 
@@ -236,7 +238,6 @@ def baseline_ema_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datetime import datetime
 
-    from timbrel.operators.lines import last
 
     kept = last(adapters.events(spark, sf_dir), datetime(2024, 1, 30), "1d")
     return kept.groupBy("log_path").agg(F.count(F.lit(1)).alias("n"), F.max("line_number").alias("last_line"))
@@ -268,3 +269,64 @@ SELECT CASE WHEN contains(low, 'license') THEN 'error' WHEN contains(low, 'the')
 def keyword_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select(S.tiers(F.coalesce("text", F.lit("")), (["license"], "error"), (["the", "und"], "warning")).alias("severity")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` rendered as an access log, one line an event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    status = F.when(F.col("event_type") == "error", "500").when(F.col("event_type") == "signup", "404").otherwise("200")
+    line = F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"), F.lit(" - - ["), F.date_format("t", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), F.col("event_type"), F.lit(' HTTP/1.1" '), status, F.lit(" "), F.col("event_id").cast("string"), F.lit(' "-" "agent"'))
+    return e.select(F.lit("nginx/access.log").alias("log_path"), (F.col("event_id") + 1).alias("line_number"), line.alias("raw"))
+
+
+@query("""SELECT event_id + 1 AS line_number, CAST(epoch_us(date_trunc('second', ts)) AS BIGINT) AS us,
+ CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END AS severity,
+ CAST(CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS INTEGER) AS http_status, concat('GET /', event_type, ' HTTP/1.1') AS message, concat('10.0.0.', user_id) AS client FROM events""", base=False)
+def access_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = engine.parse(_access_lines(spark, sf_dir), "nginx-access")
+    return windows.with_us(events).select("line_number", "us", "severity", "http_status", "message", F.col("extra")["client"].alias("client"))
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` rendered as the lines of five logs of different formats."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    iso, bsd = F.date_format("t", "yyyy-MM-dd HH:mm:ss,SSS"), F.concat(F.date_format("t", "MMM "), F.lpad(F.date_format("t", "d"), 2, " "), F.date_format("t", " HH:mm:ss"))
+    word = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
+    what = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" did "), F.col("event_type"))
+    n = F.col("event_id").cast("string")
+    shapes = {
+        "app.log": F.concat(iso, F.lit(" [main] "), word, F.lit(" a.b.Worker - "), what),
+        "kv.log": F.concat(F.lit("ts="), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z level="), F.lower(word), F.lit(' msg="'), what, F.lit('"')),
+        "sys.log": F.concat(bsd, F.lit(" host1 worker["), n, F.lit("]: "), what),
+        "json.log": F.concat(F.lit('{"level":"'), F.lower(word), F.lit('","message":"'), what, F.lit('","timestamp":"'), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit('Z"}')),
+        "cron.log": F.concat(bsd, F.lit(" host1 CRON["), n, F.lit("]: (root) CMD ("), what, F.lit(")")),
+    }
+    lines = F.array(*[F.struct(F.lit(k).alias("log_path"), v.alias("raw")) for k, v in shapes.items()])
+    return e.select((F.col("event_id") + 1).alias("line_number"), F.explode(lines).alias("l")).select("l.log_path", "line_number", "l.raw")
+
+
+_FORMATS_SQL = "(VALUES ('app.log', 'log4j'), ('kv.log', 'logfmt'), ('sys.log', 'syslog'), ('json.log', 'winston'), ('cron.log', 'cron')) AS v(log_path, format)"
+
+
+@query(f"SELECT log_path, format FROM {_FORMATS_SQL}", base=False)
+def format_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.detect(_rendered(spark, sf_dir))
+
+
+@query(f"""SELECT log_path, CASE WHEN log_path IN ('sys.log', 'cron.log') THEN CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END
+  WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'warning' ELSE 'info' END AS severity, count(*) AS n, CAST(max(event_id) + 1 AS BIGINT) AS last_line,
+  count(DISTINCT epoch_ms(ts) // CASE WHEN log_path IN ('sys.log', 'cron.log') THEN 1000 ELSE 1 END) AS stamps
+FROM events, {_FORMATS_SQL} GROUP BY ALL""", base=False)
+def mixed_formats_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formats = spark.createDataFrame([("app.log", "log4j"), ("kv.log", "logfmt"), ("sys.log", "syslog"), ("json.log", "winston"), ("cron.log", "cron")], "log_path string, format string")
+    events = engine.parse_all(_rendered(spark, sf_dir), formats)
+    return events.groupBy("log_path", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("line_number").alias("last_line"), F.countDistinct("ts").alias("stamps"))
+
+
+@query("""SELECT count(*) AS events, CAST(sum(n) AS BIGINT) AS folded FROM (SELECT event_id, (SELECT count(*) FROM events y WHERE y.event_type <> 'error' AND y.event_id > x.event_id
+  AND y.event_id < coalesce((SELECT min(z.event_id) FROM events z WHERE z.event_type = 'error' AND z.event_id > x.event_id), 1e18)) AS n FROM events x WHERE event_type = 'error')""", base=False)
+def continuation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = e.select(F.lit("a").alias("log_path"), (F.col("event_id") + 1).alias("line_number"), F.when(F.col("event_type") == "error", "ERROR x").otherwise("  at y").alias("raw"))
+    out = fold(lines, F.col("raw").startswith("ERROR"), F.col("raw").startswith("  at"))
+    return out.agg(F.count(F.lit(1)).alias("events"), F.sum("folded").alias("folded"))
