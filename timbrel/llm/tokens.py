@@ -26,7 +26,7 @@ REMEMBERED = 800_000
 JOINED = 4096
 
 #: Chunks of one word, or of one word and one run of signs, whatever the vocabulary; none of the letters is composed anew.
-_ONE_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+_ONE_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+([!-&(-/:-@\[-`{-~]*)")
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -91,20 +91,20 @@ class Encoder:
         np.cumsum([len(x) for x in found], out=at[1:])
         return np.array([i for x in found for i in x], np.uint32), at
 
-    def _marks(self, chunk: str) -> int:
-        """How many marked ids a chunk has, or 0 if that isn't known."""
+    def _marks(self, chunks: list[bytes]) -> np.ndarray:
+        """How many marked ids each chunk has, or 0 where that isn't known."""
         if self.space:
-            return int(chunk[0] == " " and len(chunk) > 1 and not chunk[1].isspace() and "<|" not in chunk)
-        found = _ONE_WORD.fullmatch(chunk)
-        return 0 if found is None or "<|" in chunk else 2 if found[2] else 1
+            return np.array([len(c) > 1 and c[0] == 32 and c[1] > 32 and b"<|" not in c for c in chunks], np.int64)
+        found = [_ONE_WORD.fullmatch(c) for c in chunks]
+        return np.array([0 if m is None or b"<|" in m[0] else 2 if m[1] else 1 for m in found], np.int64)
 
-    def _joined(self, chunks: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, chunks: list[bytes], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As _direct, of chunks with known marks."""
-        texts = [("" if self.space else " ").join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
+        texts = [(b"" if self.space else b" ").join(chunks[i : i + JOINED]).decode(errors="replace") for i in range(0, len(chunks), JOINED)]
         ids, _ = self._direct(texts)
         marked = np.flatnonzero(self.marked[ids])
         if len(marked) != marks.sum():
-            return self._direct(chunks)
+            return self._direct([c.decode(errors="replace") for c in chunks])
         # A chunk begins at its mark in byte BPE, and ends behind its last one in word BPE.
         last = marked[np.cumsum(marks) - 1] if len(marks) else marked
         return ids, np.append(last, len(ids)) if self.space else np.concatenate([[0], last + 1])
@@ -115,18 +115,15 @@ class Encoder:
             self._forget()
         new = [c for c in chunks if c not in self.number]
         if new:
-            texts = [c.decode(errors="replace") for c in new]
-            marks = np.array([self._marks(t) for t in texts])
-            for plain in (True, False):
-                pick = np.flatnonzero((marks > 0) == plain)
-                if not len(pick):
-                    continue
-                some = [texts[i] for i in pick.tolist()]
-                ids, at = self._joined(some, marks[pick]) if plain else self._direct(some)
-                for n, i in enumerate(pick.tolist(), len(self.number)):
-                    self.number[new[i]] = n
-                self.at = np.concatenate([self.at, self.at[-1] + at[1:] - at[0]])
-                self.ids = np.concatenate([self.ids, ids])
+            marks = self._marks(new)
+            plain = [c for c, m in zip(new, marks.tolist(), strict=True) if m]
+            other = [c for c, m in zip(new, marks.tolist(), strict=True) if not m]
+            for some, known in ((plain, True), (other, False)):
+                if some:
+                    ids, at = self._joined(some, marks[marks > 0]) if known else self._direct([c.decode(errors="replace") for c in some])
+                    self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
+                    self.at = np.concatenate([self.at, self.at[-1] + at[1:] - at[0]])
+                    self.ids = np.concatenate([self.ids, ids])
             self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
         numbers = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
         self.seen[numbers] += 1

@@ -64,14 +64,14 @@ def write_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     out.append(_zip(np.array(lengths, "<i8").tobytes()))
     now = ids.astype(np.uint16 if width <= 16 else np.uint32)
     for bit in range(width - 1, -1, -1):
-        ones = (now >> bit & 1).astype(bool)
+        ones = (now & now.dtype.type(1 << bit)) != 0
         plane = np.packbits(ones, bitorder="little")
         padded = np.zeros(-(-len(plane) * 8 // RANK_BITS) * RANK_BITS // 8, np.uint8)
         padded[: len(plane)] = plane
         before = np.zeros(len(padded) * 8 // RANK_BITS + 1, "<u8")
         np.cumsum(np.bitwise_count(padded.view("<u8")).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.uint64), out=before[1:])
         out += [_zip(padded.tobytes()), _zip(before.tobytes())]
-        now = np.concatenate([now[~ones], now[ones]])
+        now = np.concatenate([now.take(np.flatnonzero(~ones)), now.take(np.flatnonzero(ones))])
     return b"".join(out)
 
 
