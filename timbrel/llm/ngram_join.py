@@ -9,9 +9,13 @@ deal suits it. Two similar sets that both need the further deal meet there; othe
 signature with elements. So no link is lost and no signature is common by emptiness.
 
 Links are wanted for classes only. Within a signature all sets are compared with the first one, and connected components
-are formed; after that only pairs of a signature that are still in different classes are compared. Thousands of
-near-copies thus cost one comparison each. Sets that are equal count as one, by a 128-bit digest; every other link is
-decided on the texts' own shingles.
+are formed. What is still apart needs proof: for sets x and y that were compared with the same first set a, the Hamming
+distance of x and y is that of their differences from a (first stars are dealt again around a central set), so with |Dx| + |Dy| above what similarity allows, x and y must
+share a certain number of elements of Dx and Dy. At least one of them was not similar to a, hence that number is never
+less than one, and about half of D where the other is not similar to a. Differences are put in order of their frequency
+beside a, rarest first, and only pairs that meet in the prefixes which that number leaves are compared. Thousands of
+near-copies thus cost one comparison each, and thousands of variants that are nearly similar cost their own edits, not all
+pairs. Sets that are equal count as one, by a 128-bit digest; every other link is decided on the texts' own shingles.
 
 Cases: null and empty text and texts of white space have no shingles and no links; a text of fewer than ``k`` words has
 one shingle; rows with one doc_id count as one document; a null doc_id has a null component and links nothing; an empty
@@ -154,7 +158,7 @@ def _compare(k: int, num: int, den: int):
         now, first = None, []
         for part, h, at in _sets(batches, k):
             a, salt, role, ids = (part.column(c).to_pylist() for c in ("a", "salt", "role", "doc_id"))
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, bool, int]] = []
             for i in range(part.num_rows):
                 own = h[at[i] : at[i + 1]]
                 if (a[i], salt[i]) != now:
@@ -162,19 +166,44 @@ def _compare(k: int, num: int, den: int):
                 if role[i] == 0:
                     first.append(own.copy())
                     continue
+                linked, apart = False, 1 << 40
                 for other in first:
-                    both = len(own) + len(other) - len(np.union1d(own, other))
-                    if both and den * both >= num * (len(own) + len(other) - both):
-                        out.append((a[i], ids[i]))
-                        break
-            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+                    every = len(np.union1d(own, other))
+                    both = len(own) + len(other) - every
+                    linked |= bool(both) and den * both >= num * every
+                    apart = min(apart, every - both)
+                out.append((a[i], ids[i], linked, apart))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.record_batch([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["a", "b", "linked", "apart"])
 
     return run
 
 
-def links(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose texts are similar. Each pair ships one text; a document with many
-    partners is compared in many tasks."""
+def _differences(k, num, den):
+    def run(batches):
+        now, first = None, np.zeros(0, np.uint64)
+        for part, h, at in _sets(batches, k):
+            a, salt, role, ids = (part.column(c).to_pylist() for c in ("a", "salt", "role", "doc_id"))
+            out: list[tuple[int, int, int, int, np.ndarray]] = []
+            for i in range(part.num_rows):
+                own = h[at[i] : at[i + 1]]
+                if (a[i], salt[i]) != now:
+                    now, first = (a[i], salt[i]), np.zeros(0, np.uint64)
+                if role[i] == 0:
+                    first = np.union1d(first, own)
+                    continue
+                out.append((a[i], ids[i], len(first), len(own), np.setxor1d(first, own, assume_unique=True)))
+            many = [len(x[4]) for x in out]
+            columns = [np.repeat(np.array([x[j] for x in out], np.int64), many) for j in range(4)]
+            each = np.concatenate([x[4] for x in out]) if out else np.zeros(0, np.uint64)
+            yield pa.record_batch([*map(pa.array, columns), pa.array(np.repeat(np.array(many, np.int64), many)), pa.array(each.view(np.int64))], names=["a", "b", "n_a", "n_b", "size", "d"])
+
+    return run
+
+
+def _beside(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (a, salt, role, doc_id, text), sorted, for tasks that read each pair's texts side by side: a's text (role 0),
+    then those of its partners. Each pair ships one text; a document with many partners is dealt to many tasks."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     small = ids.count() <= BROADCAST_IDS
     texts = materialize(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), "texts")
@@ -182,12 +211,69 @@ def links(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Data
     one = texts.join(fans, F.col("doc_id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), "doc_id", "text")
     dealt = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), "b")
     two = texts.join(dealt, F.col("doc_id") == F.col("b")).select("a", "salt", F.lit(1).alias("role"), "doc_id", "text")
-    sorted_rows = one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    out = materialize(sorted_rows.mapInArrow(_compare(k, num, den), "a bigint, b bigint"), "links")
-    release(ids, texts)
+    return one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), [ids, texts]
+
+
+def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of document ids with ``linked``, are the texts similar, and ``apart``, their Hamming distance."""
+    rows, tables = _beside(docs, pairs)
+    out = materialize(rows.mapInArrow(_compare(k, num, den), "a bigint, b bigint, linked boolean, apart bigint"), "links")
+    release(*tables)
     return out
 
 
+def _classed(member: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rep, class) of each distinct set, from the links so far."""
+    found = components(edges)
+    reps = member.select("rep").distinct()
+    return materialize(reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("class")), "own")
+
+
+def _torn(stars: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, b, class_b) of first sets whose partners are of more than one class."""
+    one = own.select(F.col("rep").alias("a"), F.col("class").alias("class_a"))
+    two = own.select(F.col("rep").alias("b"), F.col("class").alias("class_b"))
+    classed = materialize(stars.join(one, "a").join(two, "b"), "classed")
+    torn = classed.filter("class_a != class_b").select("a").distinct()
+    return materialize(classed.join(torn, "a", "left_semi").select("a", "b", "class_b"), "torn")
+
+
+def _centred(torn: DataFrame, stars: DataFrame) -> DataFrame:
+    """Stars around a more central set: of the partners of a first set, the one that is nearest to it has the fewest
+    elements of its own, so what is left of the others are their own differences."""
+    near = torn.join(stars.select("a", "b", "apart"), ["a", "b"])
+    best = near.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("centre"))
+    members = torn.select("a", "b").unionByName(best.select("a", F.col("a").alias("b")))
+    moved = members.join(best, "a").filter("b != centre").select(F.col("centre").alias("a"), "b").distinct()
+    return materialize(moved, "centred")
+
+
+def _meeting(docs: DataFrame, torn: DataFrame, own: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b), a < b, that may be similar though in different classes, among partners of one first set."""
+    rows, tables = _beside(docs, torn.select("a", "b"))
+    parts = rows.mapInArrow(_differences(k, num, den), "a bigint, b bigint, n_a bigint, n_b bigint, size bigint, d bigint")
+    # What one partner alone has comes first in its order and meets nothing: its number is enough.
+    often = parts.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("a", "d"))).filter("often > 1")
+    mine = Window.partitionBy("a", "b")
+    placed = often.withColumn("place", F.row_number().over(mine.orderBy("often", "d")) + F.col("size") - F.count(F.lit(1)).over(mine))
+    c = (den - num) / (den + num)
+    least = lambda x: F.greatest(F.lit(1), F.ceil(x / 2 - 1e-6))
+    half = F.col("size") + 1 - least(F.col("size") + c * (F.col("n_a") - F.col("n_b")))
+    full = F.col("size") + 1 - least(F.col("size") - c * (F.col("n_a") + F.col("n_b")))
+    near = (den + num) * F.col("size") <= (den - num) * (F.col("n_a") + F.col("n_b"))
+    kept = placed.withColumn("near", near).withColumn("half", F.col("place") <= half).filter(F.col("half") | (~F.col("near") & (F.col("place") <= full)))
+    two = own.select(F.col("rep").alias("b"), F.col("class").alias("class_b"))
+    kept = materialize(kept.select("a", "d", "b", "n_b", "size", "place", "near", "half").join(two, "b"), "prefixes")
+    release(*tables)
+    x = kept.filter("half").select("a", "d", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("size").alias("s_x"), F.col("place").alias("p_x"), F.col("near").alias("near_x"), F.col("class_b").alias("class_x"))
+    y = kept.filter("NOT near").select("a", "d", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("size").alias("s_y"), F.col("place").alias("p_y"), F.col("half").alias("half_y"), F.col("class_b").alias("class_y"))
+    close = (F.col("class_x") != F.col("class_y")) & (den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y"))
+    # Of the first shared element, what is behind it on either side must suffice.
+    enough = 1 + F.least(F.col("s_x") - F.col("p_x"), F.col("s_y") - F.col("p_y")) >= least(F.col("s_x") + F.col("s_y") - c * (F.col("n_x") + F.col("n_y")))
+    met = x.join(y, ["a", "d"]).filter(close & enough & (F.col("near_x") | (F.col("half_y") & (F.col("x") < F.col("y")))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, compared_links) for each row of ``docs`` (doc_id, text). Documents link when
     den * intersection >= num * union of their k-word shingle sets; component_id is the smallest doc_id reachable."""
@@ -205,26 +291,20 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     met = signed.select("sig", "node", F.min("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("node").over(order).alias("next"))
     met = materialize(met.filter("node != first OR next != first").select("sig", "node", "first"), "met")
 
-    rep = member.select(F.col("doc_id").alias("node"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    head = member.select(F.col("doc_id").alias("first"), F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    close = (F.col("a") != F.col("b")) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-    stars = met.filter("node != first").select("node", "first").distinct().join(rep, "node").join(head, "first").filter(close)
+    rep = member.select(F.col("doc_id").alias("node"), F.col("rep").alias("b"))
+    head = member.select(F.col("doc_id").alias("first"), F.col("rep").alias("a"))
+    stars = met.filter("node != first").select("node", "first").distinct().join(rep, "node").join(head, "first").filter("a != b")
     stars = materialize(stars.select("a", "b").distinct(), "stars")
-    linked = links(known, stars, k, num, den)
+    release(met)
     equal = member.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    classes = components(linked.unionByName(equal))
-
-    # Of a signature, what is still in different classes.
-    own = materialize(member.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", "n", "rep", F.coalesce("component", "rep").alias("class")), "own")
-    inside = met.join(own, F.col("node") == F.col("doc_id")).select("sig", "rep", "n", "class").distinct()
-    split = inside.groupBy("sig").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least != most").select("sig")
-    inside = materialize(inside.join(split, "sig", "left_semi"), "inside")
-    other = inside.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))
-    mine = inside.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("class").alias("class_b"))
-    rest = other.join(mine, "sig").filter((F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & close).select("a", "b").distinct()
-    rest = materialize(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    release(met, inside)
-    late = links(known, rest, k, num, den) if rest.limit(1).count() else linked.limit(0)
+    first = compared(known, stars, k, num, den)
+    linked = first.filter("linked").select("a", "b")
+    torn = _torn(stars, _classed(member, linked))
+    stars = _centred(torn, first)
+    linked = linked.unionByName(compared(known, stars, k, num, den).filter("linked").select("a", "b"))
+    own = _classed(member, linked)
+    rest = materialize(_meeting(known, _torn(stars, own), own, k, num, den), "rest")
+    late = compared(known, rest, k, num, den).filter("linked").select("a", "b")
     everything = linked.unionByName(late)
     final = components(everything.unionByName(equal))
     many = everything.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
