@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from timbrel.llm import components, exact_dedup, jpeg, license_scan, media, mixing, ngram_join, packing, quality, tokens, toxicity, url_filter, wavelet
 
@@ -298,6 +299,15 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs, {"s1": 1.0}).filter("slot IS NULL").count() > 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_without_weights_keeps_all_documents(spark):
+    rows = table(spark, [(i, f"text {i}") for i in range(900)]).withColumn("source", F.expr("CASE WHEN doc_id = 0 THEN 'rare' WHEN doc_id < 9 THEN NULL WHEN doc_id < 90 THEN 'small' ELSE 'hot' END"))
+    out = mixing.mix(rows, block_docs=4).collect()
+    assert len(out) == 900 and all(r["selected"] and r["slot"] is not None for r in out)
+    assert {r["doc_id"] for r in mixing.take_mix(rows).collect()} == set(range(900))
+    given = [r for r in mixing.mix(rows, {"hot": 0.5, "small": 0.5}, block_docs=4).collect() if r["selected"]]
+    assert 0 < len(given) < 900 and {r["source"] for r in given} == {"hot", "small"}
+
+
 def test_schedules_meet_their_windows():
     rng = np.random.default_rng(9)
     for _ in range(40):

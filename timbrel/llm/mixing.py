@@ -9,9 +9,10 @@ As all windows repeat after ``period`` slots, one period is scheduled on the dri
 sources, at least PERIOD slots), and the slot of any block follows from its number: blocks are never gathered. A source
 with a third of all rows is ranked in many hash buckets.
 
-The mix holds its weights until the first source has no further block; documents scheduled up to there are ``selected``,
-later ones are returned as not selected. Without given weights a source's weight is its number of documents to the power
-TEMPER, which lets small sources count for more.
+Given weights hold until the first source has no further block; documents scheduled up to there are ``selected``, later
+ones are returned as not selected. Without given weights a source's weight is its number of documents to the power TEMPER,
+which lets small sources come earlier; the schedule goes on over the sources that still have blocks, and all documents
+are selected.
 
 Cases: a null source is a source of its own; null ids and repeated rows are scheduled each; a source without a positive
 weight has a null slot and is not selected; an empty table gives an empty result; other columns are ignored.
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     slots = apportion(given, max(period, 4 * len(given))) if given else {}
     times, whole = schedule(slots) if slots else {}, sum(slots.values())
     ends = [-(-counts[s] // block_docs) for s in slots]
-    end = min((b // a * whole + times[s][b % a] for b, (s, a) in zip(ends, slots.items(), strict=True)), default=0)
+    end = None if weights is None else min((b // a * whole + times[s][b % a] for b, (s, a) in zip(ends, slots.items(), strict=True)), default=0)
     table = spark.createDataFrame([(s, a, i, t) for s, a in slots.items() for i, t in enumerate(times[s])], "_source string, _slots long, _turn long, _time long")
     sizes = spark.createDataFrame(list(slots.items()), "_named string, _share long")
     code = F.xxhash64("doc_id")
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     # One period's table: as many rows as slots.
     timed = numbered.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") % F.col("_share") == F.col("_turn")), "left")
     slot = (F.floor(F.col("block") / F.col("_share")) * whole + F.col("_time")).cast("long")
-    return timed.select("doc_id", "source", "block", slot.alias("slot"), (F.col("_rank") % block_docs).cast("int").alias("place"), F.coalesce(slot < end, F.lit(False)).alias("selected"))
+    return timed.select("doc_id", "source", "block", slot.alias("slot"), (F.col("_rank") % block_docs).cast("int").alias("place"), (F.lit(True) if end is None else F.coalesce(slot < end, F.lit(False))).alias("selected"))
 
 
 def take_mix(docs: DataFrame, weights: dict | None = None) -> DataFrame:
