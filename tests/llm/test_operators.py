@@ -299,6 +299,22 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs, {"s1": 1.0}).filter("slot IS NULL").count() > 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_holds_to_the_exact_weights(spark):
+    # No multiples of 1 / 4096: over many periods rounded weights are off by more than a block; one lies below 1 / 4096.
+    counts = {"a": 30011, "b": 20011, "c": 9973, "d": 12}
+    weights = {s: n / 7 + 0.123 for s, n in counts.items()}
+    total = sum(weights.values())
+    rows = spark.range(sum(counts.values())).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id < 30011 THEN 'a' WHEN id < 50022 THEN 'b' WHEN id < 59995 THEN 'c' ELSE 'd' END").alias("source"))
+    got = mixing.mix(rows, weights, block_docs=1).filter("selected").select("slot", "source").orderBy("slot").collect()
+    assert [r["slot"] for r in got] == list(range(len(got))) and len(got) > 50_000
+    seen = dict.fromkeys(weights, 0)
+    for n, r in enumerate(got, 1):
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - w * n / total) < 1 for s, w in weights.items())
+    out = mixing.mix(rows, block_docs=8).groupBy("slot").agg(F.count_distinct("source", "block").alias("n"), F.count("*").alias("rows")).collect()
+    assert sorted(r["slot"] for r in out) == list(range(len(out))) and all(r["n"] == 1 and r["rows"] <= 8 for r in out)
+
+
 def test_mixing_without_weights_keeps_all_documents(spark):
     rows = table(spark, [(i, f"text {i}") for i in range(900)]).withColumn("source", F.expr("CASE WHEN doc_id = 0 THEN 'rare' WHEN doc_id < 9 THEN NULL WHEN doc_id < 90 THEN 'small' ELSE 'hot' END"))
     out = mixing.mix(rows, block_docs=4).collect()
