@@ -85,6 +85,25 @@ def test_ngram_join_against_all_pairs(spark, k, num):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(rows, k, num, 100)
 
 
+def test_ngram_join_counts_every_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE", 5)
+    monkeypatch.setattr(ngram_join, "CELLS", 2000)
+    rng = np.random.default_rng(6)
+    rows = [(i, t) for i, t in TEXTS if i]
+    for c in range(3):
+        first = [f"{c}w{x}" for x in range(60 + 20 * c)]
+        for _ in range(25):
+            copy = list(first)
+            copy[rng.integers(len(copy))] = f"v{rng.integers(9)}"
+            rows.append((len(rows) + 100, " ".join(copy)))
+        rows += [(len(rows) + 1000 + i, " ".join(first)) for i in range(4)]
+    sets = {i: {tuple(words(t)[j : j + 4]) for j in range(max(1, len(words(t)) - 3))} - {()} for i, t in rows}
+    similar = lambda x, y: bool(x & y) and 100 * len(x & y) >= 85 * len(x | y)
+    links = {i: sum(similar(x, y) for j, y in sets.items() if j != i) for i, x in sets.items()}
+    got = {r["doc_id"]: r["links"] for r in ngram_join.similar_classes(table(spark, rows), 4, 85, 100).collect()}
+    assert got == links and max(links.values()) > 20
+
+
 def test_ngram_join_edges(docs, empty):
     got = ngram_join.similar_classes(docs, 4, 85, 100).collect()
     assert len(got) == len(TEXTS) and next(r for r in got if r["doc_id"] is None)["component_id"] is None

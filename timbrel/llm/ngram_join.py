@@ -8,7 +8,7 @@ given out; a set with more than ``slack`` parts that have one also takes part in
 deal suits it. Two similar sets that both need the further deal meet there; otherwise the earlier deal shows a shared
 signature with elements. So no link is lost and no signature is common by emptiness.
 
-Links are wanted for classes only. Within a signature all sets are compared with the first one, and connected components
+Classes come first. Within a signature all sets are compared with the first one, and connected components
 are formed. What is still apart needs proof: for sets x and y that were compared with the same first set a, the Hamming
 distance of x and y is that of their differences from a (first stars are dealt again around a central set), so with |Dx| + |Dy| above what similarity allows, x and y must
 share a certain number of elements of Dx and Dy. At least one of them was not similar to a, hence that number is never
@@ -17,6 +17,9 @@ beside a, rarest first, and only pairs that meet in the prefixes which that numb
 near-copies thus cost one comparison each, and thousands of variants that are nearly similar cost their own edits, not all
 pairs. Sets that are equal count as one, by a 128-bit digest; every other link is decided on the texts' own shingles.
 
+Then links are counted. Each is inside a class, so all pairs of a class's distinct sets are compared, a slice of them with
+another in one task, and count with the copies on either side.
+
 Cases: null and empty text and texts of white space have no shingles and no links; a text of fewer than ``k`` words has
 one shingle; rows with one doc_id count as one document; a null doc_id has a null component and links nothing; an empty
 table gives an empty result; other columns are ignored.
@@ -38,6 +41,10 @@ from timbrel.llm.shingles import mix, shingle_sets
 
 #: Comparisons of one set that stay in one task.
 FAN = 64
+#: Distinct sets of a class that are compared with another slice's in one task.
+SLICE = 256
+#: Cells of a matrix of sets and elements.
+CELLS = 1 << 21
 #: Digests that a task remembers, to give out the signatures of equal sets once.
 SEEN = 200_000
 
@@ -274,12 +281,80 @@ def _meeting(docs: DataFrame, torn: DataFrame, own: DataFrame, k: int, num: int,
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, compared_links) for each row of ``docs`` (doc_id, text). Documents link when
-    den * intersection >= num * union of their k-word shingle sets; component_id is the smallest doc_id reachable."""
+def _similar(held: list[tuple[int, int, int, np.ndarray]], cross: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """(doc_id, documents with a similar other set) from rows (slice, doc_id, copies, set): all pairs of two slices, or of
+    one. What two sets share is a product of 0/1 matrices, some columns at a time; elements of one set alone are left out."""
+    side, ids, copies = (np.array([x[j] for x in held], np.int64) for j in range(3))
+    size = np.array([len(x[3]) for x in held], np.int64)
+    left = np.flatnonzero(side == side[0]) if len(held) else side
+    right = np.flatnonzero(side != side[0]) if cross and len(held) else left
+    if not len(right) or len(held) < 2:
+        return []
+    _, column, often = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
+    shared = often > 1
+    row = np.repeat(np.arange(len(held)), size)[shared[column]]
+    column = (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    width = max(64, CELLS // len(held))
+    for low in range(0, int(shared.sum()), width):
+        part = slice(*np.searchsorted(column, [low, low + width]))
+        table = np.zeros((len(held), width), np.float32)
+        table[row[part], column[part] - low] = 1
+        both += (table[left] @ table[right].T).astype(np.int64)
+    linked = (both > 0) & (den * both >= num * (size[left][:, None] + size[right] - both))
+    if not cross:
+        np.fill_diagonal(linked, False)
+        return list(zip(ids.tolist(), (linked @ copies).tolist(), strict=True))
+    return [*zip(ids[left].tolist(), (linked @ copies[right]).tolist(), strict=True), *zip(ids[right].tolist(), (linked.T @ copies[left]).tolist(), strict=True)]
+
+
+def _count(k: int, num: int, den: int):
+    def run(batches):
+        now, held = None, []
+        for part, h, at in _sets(batches, k):
+            out: list[tuple[int, int]] = []
+            keys = zip(*(part.column(c).to_pylist() for c in ("class", "one", "two")), strict=True)
+            own, ids, copies = (part.column(c).to_pylist() for c in ("slice", "doc_id", "copies"))
+            for i, key in enumerate(keys):
+                if key != now:
+                    out += _similar(held, bool(now) and now[1] != now[2], num, den)
+                    now, held = key, []
+                if not held or held[-1][1] != ids[i]:
+                    held.append((own[i], ids[i], copies[i], h[at[i] : at[i + 1]].copy()))
+            yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in range(2)], names=["rep", "more"])
+        out = _similar(held, bool(now) and now[1] != now[2], num, den)
+        yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in range(2)], names=["rep", "more"])
+
+    return run
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def _links(docs: DataFrame, member: DataFrame, final: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, links): the number of other documents that each document is similar to, copies included. All links are
+    inside a class; its distinct sets are dealt to slices, and each pair of slices is compared in one task."""
+    sets = member.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).join(final, F.col("rep") == F.col("node"), "left")
+    sets = materialize(sets.select("rep", "copies", F.coalesce("component", "rep").alias("class")), "sets")
+    sizes = sets.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    inside = materialize(sets.join(sizes, "class").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")), "inside")
+    rows = docs.join(_small(inside), F.col("doc_id") == F.col("rep")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.select("class", F.least("slice", "other").alias("one"), F.greatest("slice", "other").alias("two"), "slice", "doc_id", "copies", "text")
+    rows = rows.repartition("class", "one", "two").sortWithinPartitions("class", "one", "two", "slice", "doc_id")
+    more = rows.mapInArrow(_count(k, num, den), "rep bigint, more bigint").groupBy("rep").agg(F.sum("more").alias("more"))
+    total = sets.select("rep", "copies").join(more, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links")).filter("links > 0")
+    total = materialize(total, "total")
+    release(sets, inside)
+    return member.join(_small(total), "rep").groupBy("doc_id").agg(F.max("links").alias("links"))
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The digests of all rows, each document's representative, and the components of all links."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter(F.col("doc_id").isNotNull())
     digests = materialize(docs.mapInArrow(_digest(k), "doc_id bigint, n_shingles bigint, one bigint, two bigint"), "digests")
     full = digests.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -306,15 +381,31 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     rest = materialize(_meeting(known, _torn(stars, own), own, k, num, den), "rest")
     late = compared(known, rest, k, num, den).filter("linked").select("a", "b")
     everything = linked.unionByName(late)
-    final = components(everything.unionByName(equal))
-    many = everything.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    joined = digests.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return joined.join(many, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("compared_links"))
+    return digests, member, components(everything.unionByName(equal))
+
+
+def _typed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _placed(digests: DataFrame, final: DataFrame) -> DataFrame:
+    return digests.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, links) for each row of ``docs`` (doc_id, text). Documents link when
+    den * intersection >= num * union of their k-word shingle sets; component_id is the smallest doc_id reachable, links the
+    number of other documents that the document itself links to."""
+    docs = _typed(docs)
+    digests, member, final = _classes(docs, k, num, den)
+    many = _links(docs.filter(F.col("doc_id").isNotNull()), member, final, k, num, den).withColumnRenamed("doc_id", "node")
+    return _placed(digests, final).join(many, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def keep_one_of_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` (unique doc_id) that are the smallest of their class, with their columns."""
-    classes = similar_classes(docs.select("doc_id", "text"), k, num, den)
+    digests, _, final = _classes(_typed(docs), k, num, den)
+    classes = _placed(digests, final)
     return keep_ids(docs, classes.filter("doc_id = component_id"))
 
 
