@@ -214,6 +214,20 @@ def test_url_filter(spark):
     assert moved.first()["verdict"] == "block"
 
 
+def test_url_filter_follows_broken_tags_and_dot_segments(spark):
+    rows = [
+        (1, "https://a.org/1", '<link\n  rel="canonical"\n  href="https://z.net/es/1">'),
+        (2, "https://a.org/2", '<meta\nhttp-equiv="refresh"\ncontent="0; url=https://z.net/fr/2">'),
+        (3, "https://z.net/x/y/3", '<link rel="canonical" href="../../es/./3?a=../b">'),
+        (4, "https://z.net/x/4", '<link rel="canonical" href="/q/../fr/">'),
+        (5, "https://z.net/x/5", '<link rel="canonical" href="../../../es/u/..">'),
+        (6, "https://z.net/x/6", '<link rel="canonical" href="../no/./es/">'),
+        (7, "https://z.net/es/3?a=../b", None),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filter.RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block"}
+
+
 def test_license_scan(docs, empty, spark):
     text = "pre " * 9 + license_scan.TEMPLATES["GPL-3.0"] + " post " * 9
     changed = text.replace("WARRANTY", "guarantee", 1)

@@ -10,7 +10,7 @@ of all pages share costs partial aggregates and a join that may be split.
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule, no node and the default verdict; null html
 has no links; repeated pages are judged each; an empty table gives an empty result; other columns are ignored. A relative
-link is resolved against its page's host and folder.
+link is resolved against its page's host and folder, with its ``.`` and ``..`` segments.
 """
 
 from __future__ import annotations
@@ -42,16 +42,29 @@ def node(url: Column) -> Column:
     return F.when(host(url) != "", whole)
 
 
+def _without_dots(url: Column) -> Column:
+    """A url whose path has no segments ``.`` and ``..``."""
+    parts = F.split(path(url), "/")
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(parts, start, lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    whole = F.concat(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0), F.array_join(kept, "/"), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1))
+    return F.when(path(url).contains("/."), whole).otherwise(url)
+
+
 def _links(url: Column, html: Column) -> Column:
     """Absolute targets of a page's canonical and refresh links."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     base = F.concat(F.lit("http://"), host(url))
     folder = F.concat(base, F.regexp_extract(path(url), r"^(.*/)?", 0))
 
+    def joined(x: Column) -> Column:
+        return F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(base, x)).otherwise(F.concat(F.when(path(url) == "", F.concat(base, F.lit("/"))).otherwise(folder), x))
+
     def whole(x: Column) -> Column:
-        return F.when(x.contains("://"), x).when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(base, x)).otherwise(F.concat(F.when(path(url) == "", F.concat(base, F.lit("/"))).otherwise(folder), x))
+        return F.when(x.contains("://"), x).otherwise(_without_dots(joined(x)))
 
     found = F.transform(F.filter(F.concat(canonical, refresh), lambda x: x != ""), whole)
     return F.when(html.rlike(r"(?i)canonical|http-equiv"), found).otherwise(F.array().cast("array<string>"))
