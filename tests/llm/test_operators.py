@@ -194,6 +194,19 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(docs, none).count() == len(TEXTS) and toxicity.toxicity(empty, none).count() == 0
 
 
+def test_toxicity_beside_signs_outside_ascii_and_short_terms():
+    texts = ["“idiot”", "you idiot…", "idiot—really", "an\u00a0idiot\u00a0here", "„idiot“", "idiot\U0001f600", "café idioté", "naïvetés"]
+    auto = toxicity.build(["idiot", "scum"], [])
+    data, ends = toxicity._join([t.encode() for t in texts])
+    found = list(zip(*(x.tolist() for x in toxicity.hits(auto, data, ends)), strict=True))
+    assert [h[0] for h in found] == list(range(6)) and all(data[a:b].tobytes() == b"idiot" for _, a, b, _ in found)
+    # A short term's misspelling counts unless it is a word of the sample.
+    rows = [(b"they saw a scam today", 0), (b"a fine quiet day", 0), (b"you scum go away", 1), (b"total scum", 1)]
+    model = toxicity.fit(rows, 0.5, ["scum"])
+    tried = [b"you scvm", b"a scam", b"Scam", b"scum"]
+    assert toxicity.score(model, *toxicity._join(tried))[1].tolist() == [1, 0, 0, 1]
+
+
 def test_url_filter(spark):
     rows = [
         (1, "https://A.example.com/en/x?utm_source=f#t", None),

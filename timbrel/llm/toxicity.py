@@ -18,6 +18,7 @@ ignored. Case is folded for A-Z; edits count bytes of UTF-8.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ SAMPLE = 2000
 SAMPLE_BYTES = 16_384
 THRESHOLD = 0.5
 WINDOW = 6
+#: Terms of so many letters are found misspelt only where that is no word of the sample's documents that aren't toxic.
+SHORT = 4
 
 BASE = (
     "idiot idiots idiotic moron morons moronic imbecile imbeciles stupid dumb dumbass loser losers trash garbage scum scumbag "
@@ -53,9 +56,32 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Format characters that stand between words: zero width space, direction marks, word joiner, byte order mark.
+_BETWEEN = {0x200B, 0x200E, 0x200F, 0x2060, 0xFEFF}
+
+
+def _inside(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words: letters and digits, but no signs or spaces, outside ASCII too."""
+    inside = _LETTER[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return inside
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    a, b, c, d = (padded[lead + i] for i in range(4))
+    size = 2 + (a >= 0xE0) + (a >= 0xF0)
+    two, three = (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63
+    code = np.choose(size - 2, [two, three, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63])
+    known, at = np.unique(np.minimum(code, 0x10FFFF), return_inverse=True)
+    sign = np.array([x in _BETWEEN or (kind := unicodedata.category(chr(x)))[0] in "PSZ" or kind == "Cc" for x in known.tolist()])[at]
+    for i in range(4):
+        out = lead[sign & (size > i)] + i
+        inside[out[out < len(data)]] = False
+    return inside
+
+
 def edits(term: str) -> int:
     """Edits that a word may be away from a term; short words have too many neighbours."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < SHORT else 1 if len(term) < 9 else 2
 
 
 def stem_edits(stem: str) -> int:
@@ -154,7 +180,7 @@ def hits(auto: Automaton, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     n = len(data)
     if not n:
         return (np.zeros(0, np.int64),) * 4
-    inside = _LETTER[data]
+    inside = _inside(data)
     start, stop = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     stop[:-1] &= ~inside[1:]
@@ -178,6 +204,17 @@ def hits(auto: Automaton, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     return np.searchsorted(ends, at[found], "right") - 1, at[found], to[found], code[found]
 
 
+def _short(auto: Automaton, code: int) -> bool:
+    """A term of few letters, misspelt."""
+    return code % 2 == 0 and len(auto.terms[(code - 1) // 2]) == SHORT
+
+
+def counted(auto: Automaton, common: set[bytes] | None, data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The hits but for misspelt short terms that are ``common`` words; without a sample (None), but for all of those."""
+    found = zip(*(x.tolist() for x in hits(auto, data, ends)), strict=True)
+    return [h for h in found if not _short(auto, h[3]) or (common is not None and data[h[1] : h[2]].tobytes().lower() not in common)]
+
+
 def quotation(before: str, term: str, after: str, near: int) -> float:
     """How much of a hit counts as abuse, from its window; ``near``: further hits in it."""
     behind, ahead = before.split()[-WINDOW:], after.split()[:WINDOW]
@@ -195,6 +232,7 @@ class Model:
     auto: Automaton
     chance: dict[int, float]
     rest: float
+    common: set[bytes] | None = None
 
 
 def _apart(rows: list[tuple[bytes, int]]) -> list[tuple[set[str], int]]:
@@ -260,7 +298,10 @@ def fit(rows: list[tuple[bytes, int]], share: float, base: list[str] | None = No
     count: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
     bare = [0.0, 0.0]
     docs: dict[int, set[int]] = defaultdict(set)
-    for doc, _, _, code in zip(*(x.tolist() for x in hits(auto, *_join([t for t, _ in rows]))), strict=True):
+    data, ends = _join([t for t, _ in rows])
+    plain = [h for h in zip(*(x.tolist() for x in hits(auto, data, ends)), strict=True) if _short(auto, h[3]) and not rows[h[0]][1]]
+    common = {data[at:to].tobytes().lower() for _, at, to, _ in plain} if rows else None
+    for doc, _, _, code in counted(auto, common, data, ends):
         docs[doc].add(code)
     for i, (_, y) in enumerate(rows):
         if i not in docs:
@@ -278,7 +319,7 @@ def fit(rows: list[tuple[bytes, int]], share: float, base: list[str] | None = No
         seen = count[code][0] + count[code][1]
         chance[code] = (2 * prior + seen * (yes / (no + yes) if yes + no else 0)) / (2 + seen)
     no, yes = (bare[0] + 1) * weight[0], bare[1] * weight[1]
-    return Model(auto, chance, min(0.4, yes / (no + yes)) if sizes else 0.05)
+    return Model(auto, chance, min(0.4, yes / (no + yes)) if sizes else 0.05, common)
 
 
 def score(model: Model, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,7 +327,8 @@ def score(model: Model, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
     n = len(ends) - 1
     doubt = np.full(n, 1 - model.rest)
     found, quoted = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    doc, at, to, code = (x.tolist() for x in hits(model.auto, data, ends))
+    kept = counted(model.auto, model.common, data, ends)
+    doc, at, to, code = ([h[j] for h in kept] for j in range(4))
     raw = data.tobytes() if doc else b""
     for i, d in enumerate(doc):
         low, high = max(int(ends[d]), at[i] - 90), min(int(ends[d + 1]), to[i] + 90)
