@@ -13,6 +13,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from timbrel.llm.common import byte_texts, steps
 END = 0
 #: Chunks that a worker remembers.
 REMEMBERED = 800_000
+#: Bytes of text whose chunks are looked up together.
+STEP = 4 << 20
 #: Chunks in one text.
 JOINED = 4096
 
@@ -72,9 +76,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Keeps the chunks that were seen again."""
-        again = getattr(self, "seen", np.zeros(0, np.int64)) > 1
-        if not again.any() or again.sum() > REMEMBERED // 2:
+        """Keeps the chunks that were seen again, the most frequent half at most."""
+        often = self.seen if hasattr(self, "seen") else np.zeros(0, np.int64)
+        least = int(np.partition(often, -(REMEMBERED // 2))[-(REMEMBERED // 2)]) if len(often) > REMEMBERED // 2 else 1
+        again = often > max(1, least)
+        if not again.any():
             self.number: dict[bytes, int] = {}
             self.at, self.ids, self.seen = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
             return
@@ -113,8 +119,10 @@ class Encoder:
         """The place of each distinct chunk among the remembered ones."""
         if len(self.number) + len(chunks) > REMEMBERED:
             self._forget()
-        new = [c for c in chunks if c not in self.number]
-        if new:
+        numbers = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            new = [chunks[i] for i in unknown.tolist()]
             marks = self._marks(new)
             plain = [c for c, m in zip(new, marks.tolist(), strict=True) if m]
             other = [c for c, m in zip(new, marks.tolist(), strict=True) if not m]
@@ -125,7 +133,7 @@ class Encoder:
                     self.at = np.concatenate([self.at, self.at[-1] + at[1:] - at[0]])
                     self.ids = np.concatenate([self.ids, ids])
             self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
-        numbers = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+            numbers[unknown] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
         self.seen[numbers] += 1
         return numbers
 
@@ -190,9 +198,13 @@ class Encoder:
         return out, out_at
 
 
+#: One for each vocabulary in a worker process, so that its next tasks know the chunks of the earlier ones.
+_encoder = lru_cache(maxsize=2)(Encoder)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, space: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with the texts' ids and their offsets; null text is empty."""
-    encoder = Encoder(path, space)
+    encoder = _encoder(path, space)
     for batch in batches:
-        for part in steps(batch, "text"):
+        for part in steps(batch, "text", STEP):
             yield part, *encoder.encode(*byte_texts(part.column("text")))
