@@ -1,14 +1,16 @@
 """Each operator on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from timbrel.llm import components, exact_dedup, jpeg, license_scan, media, mixing, ngram_join, packing, quality, tokens, toxicity, url_filter, wavelet
+from timbrel.llm import common, components, exact_dedup, jpeg, license_scan, media, mixing, ngram_join, packing, quality, tokens, toxicity, url_filter, wavelet
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key int, rid int"
 LONG = " ".join(f"word{i * 7919 % 1000}" for i in range(6000))
@@ -404,3 +406,14 @@ def test_jpeg_round_trip_and_thumbnail():
             at += n
     with pytest.raises(ValueError):
         jpeg.read([b"GIF89a"])
+
+
+def test_chunks_give_the_tokenizer_s_own_ids():
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", " \n ", "a", "B", "Hello", "don't", "'s", "'", "I'LL", "123", ",", "...", "!?", "<|endoftext|>", "é", "É", "ß", "é", "H̱", "日本", "İ", " ", "　", "\u0085", "“", "—", "😀", "²", "_", "x1", "\x1c", "\x00", "ΑΣ", "ǅ", "​", "١٢"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(1500)]
+    for name, space in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = tokens.vocabulary(name)
+        encoder, whole = tokens.Encoder(path, space), tokens.load(path)
+        ids, at = encoder.encode(*common.byte_texts(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [whole.encode(t, add_special_tokens=False).ids + [0] for t in texts]
