@@ -67,7 +67,7 @@ def test_words_firewall_and_proxy(spark):
 def test_rate_spike_replaces_the_burst(spark):
     rows = [event(i, "error", line=i) for i in range(30)]
     usual = spark.createDataFrame([("a", 1.0)], "log_path string, avg_errors_per_hour double")
-    found = detectors.errors(frame(spark, rows), 3_600_000_000, usual).collect()
+    found = detectors.detect(frame(spark, rows), 60, baselines=usual, wanted=[0]).collect()
     assert [(r["kind"], r["baseline_count"]) for r in found] == [("rate_spike", 1.0)]
 
 
@@ -78,7 +78,7 @@ def test_merge_correlate_and_summarise(spark):
     got = {r["position"]: r["kind"] for r in final.collect()}
     assert got[1] == "oom_event" and set(got.values()) == {"oom_event", "error_burst", "auth_failure_cluster"}
     logs = spark.createDataFrame([("a",), ("clean",)], "log_path string")
-    out = {r["log_path"]: r for r in summary.summarize(logs, final, inference.lexical(inference.messages(final))).collect()}
+    out = {r["log_path"]: r for r in summary.summarize(logs, final, inference.lexical).collect()}
     assert (out["a"]["level"], out["a"]["category"], out["a"]["title"]) == ("CRITICAL", "oom", "Out of Memory")
     assert (out["clean"]["level"], out["clean"]["title"], out["clean"]["confidence"], out["clean"]["findings"]) == ("CLEAN", "No incidents detected", 1.0, [])
     assert summary.exit_code("CRITICAL") == 4

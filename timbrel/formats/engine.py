@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,43 +35,56 @@ def _gate(fmt: Format) -> Column:
     return F.col("_line").rlike(fmt.gate or fmt.pattern)
 
 
+def _sum(counts: Column, more: Column) -> Column:
+    return F.zip_with(counts, more, lambda a, b: a + b)
+
+
 def detect(lines: DataFrame) -> DataFrame:
-    """(log_path, format) of each log, from its first lines. One aggregate over at most SAMPLE_LINES lines of a log."""
+    """(log_path, format) of each log, from its first lines: at most SAMPLE_LINES rows of hits are gathered for a log, and
+    the first format whose hits suffice is its format."""
     sample = lines.filter((F.col("line_number") <= SAMPLE_LINES) & (F.trim("raw") != "")).select("log_path", F.substring("raw", 1, SAMPLE_CHARS).alias("_line"))
-    counts = [F.count(F.when(_gate(f), 1)).alias(f"n{i}") for i, f in enumerate(FORMATS)]
-    rows = sample.groupBy("log_path").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("_line").rlike(_SYSLOG), 1)).alias("tagged"), *counts)
-    out = F.lit("generic")
-    for i, f in reversed(list(enumerate(FORMATS))):
-        n = F.col(f"n{i}")
-        if f.tag:  # half of the syslog lines, and not a log that holds all programs' lines
-            fits = (n > 0) & (2 * n >= F.col("tagged")) & ~F.col("log_path").rlike(r"(^|/)(messages|syslog)[^/]*$")
-        else:
-            fits = n >= F.greatest(F.lit(1.0), f.share * F.col("all"))
-        if f.path:
-            fits = fits | (F.col("log_path").rlike("(?i)" + f.path) & (n > 0))
-        out = F.when(fits, f.name).otherwise(out)
-    return rows.select("log_path", out.alias("format"))
-
-
-def _parts(fmt: Format) -> dict[str, Column]:
+    hits = F.array(F.col("_line").rlike(_SYSLOG), *[_gate(f) for f in FORMATS])
+    rows = sample.select("log_path", F.transform(hits, lambda h: F.coalesce(h.cast("int"), F.lit(0))).alias("hits"))
+    rows = rows.groupBy("log_path").agg(F.collect_list("hits").alias("hits"))
+    zeros = F.array_repeat(F.lit(0), len(FORMATS) + 1)
+    rows = rows.select("log_path", F.size("hits").alias("all"), F.aggregate("hits", zeros, _sum).alias("n"))
+    known = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.share).alias("share"), F.lit(bool(f.tag)).alias("tag"), F.lit(f.path).alias("path")) for f in FORMATS])
+    whole = F.col("log_path").rlike(r"(^|/)(messages|syslog)[^/]*$")
+
+    def fits(f: Column, i: Column) -> Column:
+        n = F.get("n", i + 1)
+        # Half of the syslog lines, and not a log that holds all programs' lines.
+        tagged = (n > 0) & (2 * n >= F.get("n", F.lit(0))) & ~whole
+        named = (f["path"] != "") & (n > 0) & F.rlike(F.col("log_path"), F.concat(F.lit("(?i)"), f["path"]))
+        return named | F.when(f["tag"], tagged).otherwise(n >= F.greatest(F.lit(1.0), f["share"] * F.col("all")))
+
+    return rows.select("log_path", F.coalesce(F.get(F.filter(known, fits), F.lit(0))["name"], F.lit("generic")).alias("format"))
+
+
+#: Between the parts of a line and before the first; noncharacters, which texts don't hold.
+_PART, _FIT = "\ufdd0", "\ufdd1"
+
+
+def _cells(fmt: Format) -> Column:
+    """The parts of a line in one format, in order, or null where it doesn't fit. The pattern runs once."""
+    raw = F.col("raw")
     if fmt.json:
         value = F.try_parse_json("raw")
         path = lambda p: "$" + "".join(f"['{k}']" for k in p.split("."))
         dotted = lambda p: f"$['{p}']"
-        get = lambda p: F.coalesce(F.try_variant_get(value, dotted(p), "string"), F.try_variant_get(value, path(p), "string"))
-        return {name: F.coalesce(*[get(p) for p in paths]) for name, paths in fmt.json.items()}
-    raw = F.col("raw")
-    return {name: F.nullif(F.regexp_extract(raw, fmt.pattern, i), F.lit("")) for i, name in enumerate(fmt.parts, 1)}
-
-
-def parse(lines: DataFrame, fmt: Format | str, year: int = 2024) -> DataFrame:
-    """Events of ``lines`` in one format; lines that don't fit are left out. ``year`` is that of stamps without one."""
-    fmt = named(fmt) if isinstance(fmt, str) else fmt
-    guard = F.try_parse_json("raw").isNotNull() & F.col("raw").rlike(fmt.gate) if fmt.json else F.col("raw").rlike(fmt.pattern)
-    rows = lines.filter((F.trim("raw") != "") & guard)
-    parts = _parts(fmt)
-    rows = rows.select("log_path", "line_number", "raw", *[v.alias(f"p_{k}") for k, v in parts.items()])
-    got = {k: F.col(f"p_{k}") for k in parts}
+        get = lambda v, p: F.coalesce(F.try_variant_get(v, dotted(p), "string"), F.try_variant_get(v, path(p), "string"))
+        parts = lambda v: F.when(v.isNotNull(), F.array(*[F.coalesce(*[get(v, p) for p in paths]) for paths in fmt.json.values()]))
+        return F.when(raw.rlike(fmt.gate), F.transform(F.array(value), parts)[0])
+    marked = F.regexp_replace(raw, f"(?:{fmt.pattern})" + r"[\s\S]*", _FIT + _PART.join(f"${i}" for i in range(1, len(fmt.parts) + 1)))
+    quick = F.transform(F.array(marked), lambda m: F.when(m.startswith(_FIT), F.split(F.substr(m, F.lit(2)), _PART)))[0]
+    slow = F.when(raw.rlike(fmt.pattern), F.array(*[F.regexp_extract(raw, fmt.pattern, i) for i in range(1, len(fmt.parts) + 1)]))
+    return F.when(raw.contains(_PART) | raw.startswith(_FIT), slow).otherwise(quick)
+
+
+def _event(fmt: Format, year: int) -> Column:
+    """An event as a struct, from the column ``_cells``."""
+    parts = list(fmt.json or fmt.parts)
+    got = {k: F.nullif(F.get("_cells", F.lit(i)), F.lit("")) for i, k in enumerate(parts)}
     none = F.lit(None).cast("string")
     if "message" not in got:
         got["message"] = F.col("raw")
@@ -94,21 +108,54 @@ def parse(lines: DataFrame, fmt: Format | str, year: int = 2024) -> DataFrame:
     port = F.when(F.upper(got["method"]) == "CONNECT", F.regexp_extract(got["message"], r":(\d+)$", 1).try_cast("int")) if squid else F.lit(None).cast("int")
     get = lambda k: got.get(k, none)
     source = F.coalesce(get("source"), F.lit("filterlog" if fmt.name == "pfsense" else fmt.name))
-    columns = [when.alias("ts"), severity.alias("severity"), source.alias("source"), F.coalesce(got["message"], F.lit("")).alias("message"), F.col("raw"), F.map_filter(extra, lambda k, v: v.isNotNull()).alias("extra"), get("http_status").try_cast("int").alias("http_status"), port.alias("connect_port"), get("result_code").alias("result_code"), get("method").alias("method"), get("action").alias("action"), F.lit(squid).alias("is_squid")]
-    return rows.select("log_path", "line_number", *columns)
+    columns = [when.alias("ts"), severity.alias("severity"), source.alias("source"), F.coalesce(got["message"], F.lit("")).alias("message"), F.map_filter(extra, lambda k, v: v.isNotNull()).alias("extra"), get("http_status").try_cast("int").alias("http_status"), port.alias("connect_port"), get("result_code").alias("result_code"), get("method").alias("method"), get("action").alias("action"), F.lit(squid).alias("is_squid")]
+    return F.struct(*columns)
+
+
+#: Formats that one pass over the lines reads; their expressions are one plan.
+TOGETHER = 16
+
+
+def _choice(formats: list[Format], make) -> Column:
+    if len(formats) == 1:
+        return make(formats[0])
+    out = F.when(F.col("format") == formats[0].name, make(formats[0]))
+    for f in formats[1:]:
+        out = out.when(F.col("format") == f.name, make(f))
+    return out
+
+
+def _read(lines: DataFrame, formats: list[Format], year: int) -> DataFrame:
+    """Events of ``lines`` (with ``format``, if there are several); lines that don't fit are left out."""
+    cells = F.filter(F.array(_choice(formats, _cells)), lambda c: c.isNotNull())
+    # The generator keeps the optimizer from running a pattern once for the filter and once for the parts.
+    rows = lines.filter(F.trim("raw") != "").select("*", F.explode(cells).alias("_cells"))
+    rows = rows.select("log_path", "line_number", "raw", _choice(formats, lambda f: _event(f, year)).alias("_event"))
+    return rows.select("log_path", "line_number", "raw", "_event.*").select(EVENT)
+
+
+def parse(lines: DataFrame, fmt: Format | str, year: int = 2024) -> DataFrame:
+    """Events of ``lines`` in one format; lines that don't fit are left out. ``year`` is that of stamps without one."""
+    return _read(lines, [named(fmt) if isinstance(fmt, str) else fmt], year)
+
+
+def _groups(lines: DataFrame, formats: DataFrame) -> Iterator[tuple[DataFrame, list[Format]]]:
+    """The lines with their log's format, for TOGETHER formats at a time."""
+    names = sorted(r["format"] for r in formats.select("format").distinct().collect()) or ["generic"]
+    known = formats.select(F.col("log_path").alias("_log"), "format")
+    for at in range(0, len(names), TOGETHER):
+        some = names[at : at + TOGETHER]
+        yield lines.join(known.filter(F.col("format").isin(some)), F.col("log_path") == F.col("_log")).drop("_log"), [named(n) for n in some]
 
 
 def parse_all(lines: DataFrame, formats: DataFrame, year: int = 2024) -> DataFrame:
-    """Events of logs with known formats (log_path, format). Each format that occurs reads its own logs' lines; there are
-    as many as the catalog has at most."""
-    names = sorted(r["format"] for r in formats.select("format").distinct().collect())
-    parts = [parse(lines.join(formats.filter(F.col("format") == n).select("log_path"), "log_path", "left_semi"), n, year) for n in names or ["generic"]]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def covered(lines: DataFrame, formats: DataFrame, year: int = 2024) -> DataFrame:
-    """The formats, with ``generic`` for logs of which too few lines are events, if that yields more of them."""
-    text = lines.filter(F.trim("raw") != "").groupBy("log_path").agg(F.count(F.lit(1)).alias("n"))
-    events = parse_all(lines, formats, year).groupBy("log_path").agg(F.count(F.lit(1)).alias("events"))
-    joined = formats.join(text, "log_path", "left").join(events, "log_path", "left")
-    return joined.select("log_path", F.when(F.coalesce("events", F.lit(0)) < MIN_COVERAGE * F.col("n"), "generic").otherwise(F.col("format")).alias("format"))
+    """Events of logs with known formats (log_path, format), in one pass over the lines for each TOGETHER formats."""
+    return reduce(DataFrame.unionByName, [_read(rows, some, year) for rows, some in _groups(lines, formats)])
+
+
+def covered(lines: DataFrame, formats: DataFrame) -> DataFrame:
+    """The formats, with ``generic`` for logs of which too few lines are events; all lines with text are generic events."""
+    fits = [rows.filter(F.trim("raw") != "").select("log_path", "format", _choice(some, _cells).isNotNull().alias("fits")) for rows, some in _groups(lines, formats)]
+    counts = reduce(DataFrame.unionByName, fits).groupBy("log_path", "format").agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("events"))
+    few = counts.filter(F.col("events") < MIN_COVERAGE * F.col("n")).select(F.col("log_path").alias("_log"))
+    return formats.join(few, F.col("log_path") == F.col("_log"), "left").select("log_path", F.when(F.col("_log").isNotNull(), "generic").otherwise(F.col("format")).alias("format"))

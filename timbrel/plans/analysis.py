@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def analyse(lines: DataFrame, config: Config | None = None, format_name: str | N
     if format_name:
         formats = lines.select("log_path").distinct().withColumn("format", F.lit(engine.named(format_name).name))
     else:
-        formats = engine.covered(lines, engine.detect(lines), year)
+        formats = engine.covered(lines, engine.detect(lines))
     # All detectors read the events; parsing again for each would cost more than keeping them.
     events = engine.parse_all(lines, formats, year).persist()
     counts = events.groupBy("log_path").agg(F.count(F.lit(1)).alias("parsed_count"))
@@ -33,5 +34,5 @@ def analyse(lines: DataFrame, config: Config | None = None, format_name: str | N
     a = config.analysis
     found = detectors.detect(events, a.window_size_minutes, a.burst_multiplier, a.auth_failure_threshold, a.spike_factor, baselines)
     signals = correlation.correlate(correlation.merge(found), a.correlation_gap_seconds * 1_000_000)
-    guess = inference.lexical(inference.messages(signals), config.inference.threshold) if config.inference.enabled else None
-    return summary.summarize(logs, signals, guess), events
+    score = partial(inference.lexical, threshold=config.inference.threshold) if config.inference.enabled else None
+    return summary.summarize(logs, signals, score), events

@@ -6,31 +6,33 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.constants import EVIDENCE
 
 
-def messages(signals: DataFrame, each: int = 8, most: int = 30, width: int = 256) -> DataFrame:
-    """(log_path, n, message): distinct cut messages of the first samples of each signal, in final order."""
-    heads = signals.select("log_path", "position", F.posexplode(F.slice("samples", 1, each)).alias("at", "s"))
-    cut = heads.select("log_path", "position", "at", F.trim(F.substring("s.message", 1, width)).alias("message"))
-    once = cut.groupBy("log_path", "message").agg(F.min(F.struct("position", "at")).alias("k"))
-    listed = once.groupBy("log_path").agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "message"))), 1, most).alias("m"))
-    return listed.select("log_path", F.posexplode("m").alias("n", "x")).select("log_path", "n", F.col("x.message").alias("message"))
-
-
-def lexical(chosen: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """(log_path, category, confidence): shares of evidence words, averaged over messages; below the threshold unknown."""
-    hits = [F.when(F.col("message").rlike(r"(?i)\b(?:" + "|".join(map(re.escape, words)) + r")\b"), 1.0).otherwise(0.0).alias(name) for name, words in EVIDENCE.items()]
-    rows = chosen.select("log_path", *hits)
-    total = sum((F.col(n) for n in EVIDENCE), F.lit(0.0))
-    shares = rows.select("log_path", *[F.when(total > 0, F.col(n) / total).otherwise(0.0).alias(n) for n in EVIDENCE])
-    mean = shares.groupBy("log_path").agg(*[F.avg(n).alias(n) for n in EVIDENCE])
-    best = F.array_max(F.array(*[F.struct(F.col(n).alias("confidence"), F.lit(n).alias("category")) for n in EVIDENCE]))
-    sure = mean.select("log_path", best.alias("b"))
-    return sure.select("log_path", F.when(F.col("b.confidence") >= threshold, F.col("b.category")).otherwise("unknown").alias("category"), F.when(F.col("b.confidence") >= threshold, F.col("b.confidence")).otherwise(0.0).alias("confidence"))
+def messages(found: Column, each: int = 8, most: int = 30, width: int = 256) -> Column:
+    """Distinct cut messages of the first samples of each signal; ``found``: the arrays of samples of a log's signals, in
+    final order."""
+    heads = F.transform(found, lambda samples: F.transform(F.slice(samples, 1, each), lambda s: F.trim(F.substring(s["message"], 1, width))))
+    return F.slice(F.array_distinct(F.filter(F.flatten(heads), lambda m: m.isNotNull())), 1, most)
+
+
+def lexical(chosen: Column, threshold: float = 0.35) -> Column:
+    """Struct (category, confidence) of an array of messages: shares of evidence words, averaged over messages; below the
+    threshold unknown."""
+    names = list(EVIDENCE)
+
+    def shares(message: Column) -> Column:
+        hits = F.array(*[F.when(message.rlike(r"(?i)\b(?:" + "|".join(map(re.escape, words)) + r")\b"), 1.0).otherwise(0.0) for words in EVIDENCE.values()])
+        return F.transform(F.array(hits), lambda h: F.transform(h, lambda x: x / F.greatest(F.lit(1.0), F.aggregate(h, F.lit(0.0), lambda s, y: s + y))))[0]
+
+    none = F.array(*[F.lit(0.0) for _ in names])
+    total = F.aggregate(F.transform(chosen, shares), none, lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    mean = F.transform(total, lambda x: x / F.greatest(F.lit(1), F.size(chosen)))
+    best = F.array_max(F.zip_with(mean, F.array(*map(F.lit, names)), lambda c, n: F.struct(c.alias("confidence"), n.alias("category"))))
+    return F.transform(F.array(best), lambda b: F.struct(F.when(b["confidence"] >= threshold, b["category"]).otherwise("unknown").alias("category"), F.when(b["confidence"] >= threshold, b["confidence"]).otherwise(0.0).alias("confidence")))[0]
 
 
 def leaders(vectors: DataFrame, least: float = 0.75) -> DataFrame:

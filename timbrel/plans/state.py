@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from timbrel import constants as C
 from timbrel.functions.severity import is_error
-from timbrel.operators.windows import forward_counts, with_us
+from timbrel.operators.windows import ahead, each, with_us
 
 
 def metrics(events: DataFrame, window_minutes: float = C.BASELINE_WINDOW_MINUTES) -> DataFrame:
     """(log_path, avg_events_per_hour, avg_errors_per_hour, p95_burst_size) of timed events."""
-    counted = forward_counts(with_us(events), int(window_minutes * 60_000_000))
+    ticks = with_us(events).groupBy("log_path", "us").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_error(F.col("severity"))).alias("bad"))
+    counted = each(ahead(ticks, ["n"], int(window_minutes * 60_000_000)))
     hours = F.greatest((F.max("us") - F.min("us")) / 3.6e9, F.lit(C.LEAST_HOURS))
-    return counted.groupBy("log_path").agg((F.count(F.lit(1)) / hours).alias("avg_events_per_hour"), (F.count(F.when(is_error(F.col("severity")), 1)) / hours).alias("avg_errors_per_hour"), F.percentile("n_forward", 0.95).alias("p95_burst_size"))
+    bad = F.coalesce(F.sum(F.when(F.col("n_forward") == F.col("f_n"), F.col("bad"))), F.lit(0))  # once for each time
+    return counted.groupBy("log_path").agg((F.count(F.lit(1)) / hours).alias("avg_events_per_hour"), (bad / hours).alias("avg_errors_per_hour"), F.percentile("n_forward", 0.95).alias("p95_burst_size"))
 
 
 def upsert(old: DataFrame, new: DataFrame, alpha: float = 0.2) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timbrel import constants as C
+from timbrel.plans.inference import messages
 
 
 def _lookup(column: Column, table: dict[str, str]) -> Column:
@@ -35,11 +37,11 @@ def _detail() -> Column:
     return F.concat(F.col("event_count").cast("string"), F.lit(" events in "), F.format_string("%.0f", F.rint(seconds)), F.lit("s window"), tail)
 
 
-def summarize(logs: DataFrame, signals: DataFrame, inference: DataFrame | None = None) -> DataFrame:
+def summarize(logs: DataFrame, signals: DataFrame, score: Callable[[Column], Column] | None = None) -> DataFrame:
     """``logs`` (log_path, ...) with level, title, findings, confidence, category, remediation and signal_count.
 
-    ``signals`` come from ``correlate``. ``inference``: (log_path, category, confidence) of a model; a category needs a word
-    that speaks for it in the samples."""
+    ``signals`` come from ``correlate`` and are read once. ``score``: from an array of messages to a struct (category,
+    confidence), an expression or a pandas UDF; a category needs a word that speaks for it in the samples."""
     named = signals.withColumn("mapped", _lookup(F.col("kind"), C.KIND_CATEGORY)).withColumn("headline", F.coalesce(_lookup(F.col("kind"), C.KIND_HEADLINE), F.initcap(F.translate("kind", "_", " "))))
     named = named.withColumn("detail", _detail())
     first = F.struct("position", "headline", "kind")
@@ -50,13 +52,14 @@ def summarize(logs: DataFrame, signals: DataFrame, inference: DataFrame | None =
         F.min(first).alias("first"),
         F.min(F.when(F.col("mapped").isNotNull(), F.struct("position", "mapped")))["mapped"].alias("signal_category"),
         F.array_sort(F.collect_list(F.when(F.col("position") <= C.FINDINGS, finding))).alias("found"),
-        F.array_join(F.flatten(F.collect_list(F.transform("samples", lambda s: s["message"]))), " ").alias("text"),
+        F.array_sort(F.collect_list(F.struct("position", "samples"))).alias("held"),
     )
+    samples = F.transform("held", lambda x: x["samples"])
+    per_log = per_log.withColumn("text", F.array_join(F.transform(F.flatten(samples), lambda s: s["message"]), " "))
+    guess = score(messages(samples)) if score else F.lit(None).cast("struct<category:string,confidence:double>")
+    per_log = per_log.withColumn("_guess", guess).drop("held")
     out = logs.join(per_log, "log_path", "left")
-    if inference is None:
-        out = out.withColumn("_guess", F.lit(None).cast("string")).withColumn("_sure", F.lit(None).cast("double"))
-    else:
-        out = out.join(inference.select("log_path", F.col("category").alias("_guess"), F.col("confidence").alias("_sure")), "log_path", "left")
+    out = out.withColumn("_sure", F.col("_guess.confidence")).withColumn("_guess", F.col("_guess.category"))
     usable = (F.col("_sure") > 0) & (F.col("_guess") != "unknown") & supported(F.col("_guess"), F.coalesce("text", F.lit("")))
     out = out.withColumn("_ai", F.when(usable, F.col("_guess")))
     level = F.when(F.col("signal_count").isNull(), "CLEAN").when(F.col("_ai").isin(C.CRITICAL_CATEGORIES) | F.col("critical"), "CRITICAL").otherwise("WARNING")

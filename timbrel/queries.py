@@ -86,6 +86,10 @@ _COLUMNS = 'log_path, kind, start, "end", event_count, baseline_count, severity'
 _SHOWN = ["log_path", "kind", "start", "end", "event_count", "baseline_count", "severity"]
 
 
+def _found(events: DataFrame, *wanted: int, baselines: DataFrame | None = None) -> DataFrame:
+    return detectors.detect(events, WINDOW_MINUTES, MULTIPLIER, THRESHOLD, baselines=baselines, wanted=wanted)
+
+
 def _pick(name: str) -> str:
     return f"SELECT {_COLUMNS} FROM {name}"
 
@@ -115,12 +119,12 @@ def forward_counts_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ERRORS_SQL + " " + _pick("s0"))
 def densest_error_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.errors(adapters.events(spark, sf_dir), WINDOW).select(_SHOWN)
+    return _found(adapters.events(spark, sf_dir), 0).select(_SHOWN)
 
 
 @query(_BURST_SQL + " " + _pick("s1"))
 def burst_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.bursts(adapters.events(spark, sf_dir), WINDOW, MULTIPLIER).select(_SHOWN)
+    return _found(adapters.events(spark, sf_dir), detectors.BURSTS).select(_SHOWN)
 
 
 @query(f"""b AS (SELECT log_path, min(us) AS t0, max(us) AS t1, count(*) FILTER (severity IN ('error', 'critical')) AS n FROM e GROUP BY log_path)
@@ -129,35 +133,34 @@ FROM b WHERE n >= {C.MIN_SPIKE_ERRORS} AND n / greatest((t1 - t0) / 3.6e9, 1.0 /
 def rate_spike_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.events(spark, sf_dir)
     known = e.select("log_path").distinct().withColumn("avg_errors_per_hour", F.when(F.col("log_path") == "log-1", 0.05).otherwise(0.2))
-    return detectors.spikes(e, known, 3.0).select(_SHOWN)
+    return _found(e, 0, baselines=known).filter("kind = 'rate_spike'").select(_SHOWN)
 
 
 @query(f"""c AS (SELECT log_path, count(*) AS n, count(*) FILTER (severity IN ('error', 'critical')) AS bad FROM e GROUP BY log_path)
 SELECT log_path, 'error_burst' AS kind, bad AS event_count, 'error' AS severity FROM c WHERE bad >= {C.MIN_BURST_EVENTS} AND bad >= {C.UNTIMED_SHARE} * n""")
 def untimed_error_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.events(spark, sf_dir).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
-    return detectors.errors(e, WINDOW).select("log_path", "kind", "event_count", "severity")
+    return _found(e, 0).select("log_path", "kind", "event_count", "severity")
 
 
 @query(",\n".join([_AUTH_SQL]) + " " + _pick("s2"))
 def auth_failure_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.auth(adapters.events(spark, sf_dir), WINDOW, THRESHOLD).select(_SHOWN)
+    return _found(adapters.events(spark, sf_dir), 2).select(_SHOWN)
 
 
 @query(",\n".join([_OOM_SQL, _CRASH_SQL, _DISK_SQL]) + f" {_pick('s3')} UNION ALL {_pick('s4')} UNION ALL {_pick('s5')}")
 def keyword_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = adapters.events(spark, sf_dir)
-    return detectors.memory(e).unionByName(detectors.crashes(e)).unionByName(detectors.disk(e)).select(_SHOWN)
+    return _found(adapters.events(spark, sf_dir), 3, 4, 5).select(_SHOWN)
 
 
 @query(_FIRE_SQL + " " + _pick("s6"))
 def firewall_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.firewall(adapters.events(spark, sf_dir), WINDOW, THRESHOLD).select(_SHOWN)
+    return _found(adapters.events(spark, sf_dir), 6).select(_SHOWN)
 
 
 @query(_PROXY_SQL + " " + " UNION ALL ".join(_pick(f"s{i}") for i in (7, 8, 9, 10)))
 def proxy_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.proxy(adapters.events(spark, sf_dir), WINDOW, THRESHOLD).select(_SHOWN)
+    return _found(adapters.events(spark, sf_dir), 7, 8, 9, 10).select(_SHOWN)
 
 
 _ALL_SQL = ",\n".join([_ERRORS_SQL, _BURST_SQL, _AUTH_SQL, _OOM_SQL, _CRASH_SQL, _DISK_SQL, _FIRE_SQL, _PROXY_SQL])
@@ -165,7 +168,7 @@ _UNION_SQL = " UNION ALL ".join(f"SELECT {i} AS detector_seq, {_COLUMNS} FROM s{
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.detect(adapters.events(spark, sf_dir), WINDOW_MINUTES, MULTIPLIER, THRESHOLD)
+    return _found(adapters.events(spark, sf_dir), *detectors.ALL)
 
 
 @query(_ALL_SQL + " " + _UNION_SQL)
@@ -205,7 +208,7 @@ def incident_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.events(spark, sf_dir)
     signals = correlation.correlate(correlation.merge(_all(spark, sf_dir)), GAP)
     logs = e.groupBy("log_path").agg(F.count(F.lit(1)).alias("parsed_count"))
-    return summary.summarize(logs, signals, inference.lexical(inference.messages(signals)))
+    return summary.summarize(logs, signals, inference.lexical)
 
 
 _METRICS_SQL = f"""{_FORWARD}, m AS (SELECT log_path, count(*) / greatest((max(us) - min(us)) / 3.6e9, 1.0 / 3600) AS ev, count(*) FILTER (severity IN ('error', 'critical')) / greatest((max(us) - min(us)) / 3.6e9, 1.0 / 3600) AS er, quantile_cont(n_forward, 0.95) AS p95 FROM f GROUP BY log_path)"""
