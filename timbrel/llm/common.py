@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,11 @@ def release(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so when the driver's collector finds their plans gone."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,6 +110,43 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
 BROADCAST_IDS = 250_000
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows were counted and are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], members: str) -> DataFrame:
+    """``rows`` with the columns of their group in ``groups`` (unique ``keys`` without nulls, number of ``members``). A group
+    with a third of all rows is no task of its own: groups of more than one in BROADCAST_IDS of all rows, so BROADCAST_IDS
+    groups at most, are broadcast, and only the others' rows are dealt by key."""
+    groups = materialize(groups, "groups")
+    most = max(256, -(-(groups.agg(F.sum(members)).first()[0] or 0) // BROADCAST_IDS))
+    large = F.broadcast(groups.filter(F.col(members) > most))
+    rest = rows.join(large.select(*keys), keys, "left_anti")
+    return rows.join(large, keys).unionByName(rest.join(groups.filter(F.col(members) <= most), keys))
+
+
+def trimmed(run):
+    """A function of Arrow batches that gives freed memory back when its task ends; the worker process lives on."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(_libc(), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    import ctypes
+
+    return ctypes.CDLL(None)
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (doc_id), and those whose doc_id is null: no decision names them."""
     ids = materialize(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "ids")

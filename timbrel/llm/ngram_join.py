@@ -27,15 +27,16 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import BROADCAST_IDS, byte_texts, documents, keep_ids, materialize, release, small_batches, steps
+from timbrel.llm.common import byte_texts, documents, drop_shuffles, join_groups, keep_ids, materialize, release, small, small_batches, steps, trimmed
 from timbrel.llm.components import components
 from timbrel.llm.shingles import mix, shingle_sets
 
@@ -45,6 +46,10 @@ FAN = 64
 SLICE = 256
 #: Cells of a matrix of sets and elements.
 CELLS = 1 << 21
+#: Bits of a signature that are kept; more documents than those tell apart cost comparisons, no links.
+NAME_BITS = 48
+#: Signatures in one bucket, about.
+NAMES = 1 << 19
 #: Digests that a task remembers, to give out the signatures of equal sets once.
 SEEN = 200_000
 
@@ -135,15 +140,44 @@ def _digest(k: int):
             one, two = _digests(h, at)
             yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(at)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n_shingles", "one", "two"])
 
-    return run
+    return trimmed(run)
 
 
-def _sign(k: int, num: int, den: int):
+def _pack(names: np.ndarray, nodes: np.ndarray) -> bytes:
+    """Ascending signatures (48 bits) with a node each; numbers are stored as differences, byte by byte, and compressed."""
+    import zstandard
+
+    ids, place = np.unique(nodes, return_inverse=True)
+    width = 2 if len(ids) <= 1 << 16 else 4
+    cells = [np.diff(names, prepend=names.dtype.type(0)), np.diff(ids, prepend=0), place.astype(f"<u{width}")]
+    planes = [x.astype(f"<{x.dtype.kind}{x.dtype.itemsize}").view(np.uint8).reshape(len(x), -1).T.tobytes() for x in cells]
+    return struct.pack("<IIB", len(names), len(ids), width) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    n, m, width = struct.unpack_from("<IIB", blob)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[9:], max_output_size=8 * n + 8 * m + width * n), np.uint8)
+    part = lambda at, count, size, kind: np.ascontiguousarray(raw[at : at + count * size].reshape(size, count).T).view(kind)[:, 0]
+    names, ids, place = part(0, n, 8, "<u8"), part(8 * n, m, 8, "<i8"), part(8 * n + 8 * m, n, width, f"<u{width}")
+    return np.cumsum(names, dtype=np.uint64), np.cumsum(ids)[place]
+
+
+def _rows(buckets, kinds, blobs) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+
+
+def _sign(k: int, num: int, den: int, buckets: int):
+    """Rows (bucket, kind, blob): of each signature in a step its least node (kind 0, by ranges of signatures), and the
+    other nodes beside that one (kind 1, pairs). However common a signature is, a step sends it once."""
+
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        seen: set[bytes] = set()
         for part, h, at in _sets(batches, k):
             new = np.zeros(part.num_rows, bool)
-            for i, key in enumerate(zip(*(x.tolist() for x in _digests(h, at)), strict=True)):
+            digests = np.stack(_digests(h, at), axis=1)
+            for i, key in enumerate(digests.view("S16")[:, 0].tolist()):
                 if key not in seen:
                     new[i] = True
                     if len(seen) >= SEEN:
@@ -154,10 +188,57 @@ def _sign(k: int, num: int, den: int):
             ends = np.zeros(len(at), np.int64)
             np.cumsum(sizes, out=ends[1:])
             names, rows = signatures(h[kept], ends, num, den)
-            ids = part.column("doc_id").take(pa.array(rows))
-            yield pa.record_batch([pa.array(names.view(np.int64)), ids], names=["sig", "node"])
+            if not len(names):
+                continue
+            names, nodes = names >> np.uint64(64 - NAME_BITS), part.column("doc_id").to_numpy()[rows]
+            order = np.lexsort((nodes, names))
+            names, nodes = names[order], nodes[order]
+            first = np.ones(len(names), bool)
+            first[1:] = names[1:] != names[:-1]
+            least = nodes[first][np.cumsum(first) - 1]
+            with_other = nodes != least
+            pairs = np.unique(np.stack([least[with_other], nodes[with_other]], axis=1), axis=0)
+            names, nodes = names[first], nodes[first]
+            edges = [(i << NAME_BITS) // buckets for i in range(1, buckets)]
+            cuts = [0, *np.searchsorted(names, np.array(edges, np.uint64)).tolist(), len(names)]
+            found = [(i, _pack(names[a:b], nodes[a:b])) for i, (a, b) in enumerate(pairwise(cuts)) if b > a]
+            yield _rows([i for i, _ in found], [0] * len(found), [x for _, x in found])
+            if len(pairs):
+                yield _rows([int(pairs[0, 0]) % buckets], [1], [pairs.astype("<i8").tobytes()])
+
+    return trimmed(run)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs (a, b, local) of each bucket: a signature's least node and every other one that sent it; and the pairs
+    of kind 1."""
+    now, held = None, []
+
+    def out(a, b, local):
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), local))], names=["a", "b", "local"])
+
+    def met():
+        names, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((nodes, names))
+        names, nodes = names[order], nodes[order]
+        first = np.ones(len(names), bool)
+        first[1:] = names[1:] != names[:-1]
+        least = nodes[first][np.cumsum(first) - 1]
+        other = nodes != least
+        return out(*np.unique(np.stack([least[other], nodes[other]], axis=1), axis=0).T, False)
 
-    return run
+    for batch in batches:
+        for bucket, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+            if kind:
+                yield out(*np.frombuffer(blob.as_py(), "<i8").reshape(-1, 2).T, True)
+                continue
+            if bucket != now and held:
+                yield met()
+                held.clear()
+            now = bucket
+            held.append(_unpack(blob.as_py()))
+    if held:
+        yield met()
 
 
 def _compare(k: int, num: int, den: int):
@@ -183,42 +264,56 @@ def _compare(k: int, num: int, den: int):
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
             yield pa.record_batch([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["a", "b", "linked", "apart"])
 
-    return run
+    return trimmed(run)
 
 
 def _differences(k, num, den):
+    """Rows (a, b, n_a, n_b, size, fan, often, d): what partners have apart from a star's first set. Where all partners of a
+    star are in this task, elements that one of them has alone are left out and ``often`` is final."""
+
+    def emit(fan: int, own: int, found: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        each = np.concatenate([x[3] for x in found])
+        many = np.array([len(x[3]) for x in found], np.int64)
+        _, place, often = np.unique(each, return_inverse=True, return_counts=True)
+        often = often[place]
+        kept = (often > 1) | (fan > 1)
+        row = np.repeat(np.arange(len(found)), many)[kept]
+        a, b, n_b = (np.array([x[j] for x in found], np.int64)[row] for j in range(3))
+        same = np.full(len(row), 1)
+        return pa.record_batch([*map(pa.array, (a, b, own * same, n_b, many[row], fan * same, often[kept], each[kept].view(np.int64)))], names=["a", "b", "n_a", "n_b", "size", "fan", "often", "d"])
+
     def run(batches):
-        now, first = None, np.zeros(0, np.uint64)
+        now, first, found = None, np.zeros(0, np.uint64), []
         for part, h, at in _sets(batches, k):
-            a, salt, role, ids = (part.column(c).to_pylist() for c in ("a", "salt", "role", "doc_id"))
-            out: list[tuple[int, int, int, int, np.ndarray]] = []
-            for i in range(part.num_rows):
+            keys = zip(*(part.column(c).to_pylist() for c in ("a", "salt", "fan")), strict=True)
+            role, ids = (part.column(c).to_pylist() for c in ("role", "doc_id"))
+            for i, key in enumerate(keys):
                 own = h[at[i] : at[i + 1]]
-                if (a[i], salt[i]) != now:
-                    now, first = (a[i], salt[i]), np.zeros(0, np.uint64)
+                if key != now:
+                    if found:
+                        yield emit(now[2], len(first), found)
+                    now, first, found = key, np.zeros(0, np.uint64), []
                 if role[i] == 0:
                     first = np.union1d(first, own)
                     continue
-                out.append((a[i], ids[i], len(first), len(own), np.setxor1d(first, own, assume_unique=True)))
-            many = [len(x[4]) for x in out]
-            columns = [np.repeat(np.array([x[j] for x in out], np.int64), many) for j in range(4)]
-            each = np.concatenate([x[4] for x in out]) if out else np.zeros(0, np.uint64)
-            yield pa.record_batch([*map(pa.array, columns), pa.array(np.repeat(np.array(many, np.int64), many)), pa.array(each.view(np.int64))], names=["a", "b", "n_a", "n_b", "size", "d"])
+                found.append((key[0], ids[i], len(own), np.setxor1d(first, own, assume_unique=True)))
+        if found:
+            yield emit(now[2], len(first), found)
 
-    return run
+    return trimmed(run)
 
 
 def _beside(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows (a, salt, role, doc_id, text), sorted, for tasks that read each pair's texts side by side: a's text (role 0),
+    """Rows (a, fan, salt, role, doc_id, text), sorted, for tasks that read each pair's texts side by side: a's text (role 0),
     then those of its partners. Each pair ships one text; a document with many partners is dealt to many tasks."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    small = ids.count() <= BROADCAST_IDS
-    texts = materialize(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), "texts")
-    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
-    one = texts.join(fans, F.col("doc_id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), "doc_id", "text")
-    dealt = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), "b")
-    two = texts.join(dealt, F.col("doc_id") == F.col("b")).select("a", "salt", F.lit(1).alias("role"), "doc_id", "text")
-    return one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), [ids, texts]
+    texts = materialize(docs.join(small(ids), "doc_id", "left_semi"), "texts")
+    fans = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan")), "fans")
+    dealt = pairs.join(small(fans), "a").select("a", "fan", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), "b")
+    dealt = materialize(dealt, "dealt")
+    one = texts.join(small(fans), F.col("doc_id") == F.col("a")).select("a", "fan", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), "doc_id", "text")
+    two = texts.join(small(dealt), F.col("doc_id") == F.col("b")).select("a", "fan", "salt", F.lit(1).alias("role"), "doc_id", "text")
+    return one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), [ids, texts, fans, dealt]
 
 
 def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -242,7 +337,9 @@ def _torn(stars: DataFrame, own: DataFrame) -> DataFrame:
     two = own.select(F.col("rep").alias("b"), F.col("class").alias("class_b"))
     classed = materialize(stars.join(one, "a").join(two, "b"), "classed")
     torn = classed.filter("class_a != class_b").select("a").distinct()
-    return materialize(classed.join(torn, "a", "left_semi").select("a", "b", "class_b"), "torn")
+    out = materialize(classed.join(torn, "a", "left_semi").select("a", "b", "class_b"), "torn")
+    release(classed)
+    return out
 
 
 def _centred(torn: DataFrame, stars: DataFrame) -> DataFrame:
@@ -258,9 +355,11 @@ def _centred(torn: DataFrame, stars: DataFrame) -> DataFrame:
 def _meeting(docs: DataFrame, torn: DataFrame, own: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b), a < b, that may be similar though in different classes, among partners of one first set."""
     rows, tables = _beside(docs, torn.select("a", "b"))
-    parts = rows.mapInArrow(_differences(k, num, den), "a bigint, b bigint, n_a bigint, n_b bigint, size bigint, d bigint")
+    parts = materialize(rows.mapInArrow(_differences(k, num, den), "a bigint, b bigint, n_a bigint, n_b bigint, size bigint, fan bigint, often bigint, d bigint"), "differences")
+    release(*tables)
     # What one partner alone has comes first in its order and meets nothing: its number is enough.
-    often = parts.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("a", "d"))).filter("often > 1")
+    wide = parts.filter("fan > 1").withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("a", "d"))).filter("often > 1")
+    often = parts.filter("fan = 1").unionByName(wide).drop("fan")
     mine = Window.partitionBy("a", "b")
     placed = often.withColumn("place", F.row_number().over(mine.orderBy("often", "d")) + F.col("size") - F.count(F.lit(1)).over(mine))
     c = (den - num) / (den + num)
@@ -271,14 +370,16 @@ def _meeting(docs: DataFrame, torn: DataFrame, own: DataFrame, k: int, num: int,
     kept = placed.withColumn("near", near).withColumn("half", F.col("place") <= half).filter(F.col("half") | (~F.col("near") & (F.col("place") <= full)))
     two = own.select(F.col("rep").alias("b"), F.col("class").alias("class_b"))
     kept = materialize(kept.select("a", "d", "b", "n_b", "size", "place", "near", "half").join(two, "b"), "prefixes")
-    release(*tables)
+    release(parts)
     x = kept.filter("half").select("a", "d", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("size").alias("s_x"), F.col("place").alias("p_x"), F.col("near").alias("near_x"), F.col("class_b").alias("class_x"))
     y = kept.filter("NOT near").select("a", "d", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("size").alias("s_y"), F.col("place").alias("p_y"), F.col("half").alias("half_y"), F.col("class_b").alias("class_y"))
     close = (F.col("class_x") != F.col("class_y")) & (den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y"))
     # Of the first shared element, what is behind it on either side must suffice.
     enough = 1 + F.least(F.col("s_x") - F.col("p_x"), F.col("s_y") - F.col("p_y")) >= least(F.col("s_x") + F.col("s_y") - c * (F.col("n_x") + F.col("n_y")))
     met = x.join(y, ["a", "d"]).filter(close & enough & (F.col("near_x") | (F.col("half_y") & (F.col("x") < F.col("y")))))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
+    release(kept)
+    return rest
 
 
 def _similar(held: list[tuple[int, int, int, np.ndarray]], cross: bool, num: int, den: int) -> list[tuple[int, int]]:
@@ -327,11 +428,7 @@ def _count(k: int, num: int, den: int):
         out = _similar(held, bool(now) and now[1] != now[2], num, den)
         yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in range(2)], names=["rep", "more"])
 
-    return run
-
-
-def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+    return trimmed(run)
 
 
 def _links(docs: DataFrame, member: DataFrame, final: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -341,14 +438,14 @@ def _links(docs: DataFrame, member: DataFrame, final: DataFrame, k: int, num: in
     sets = materialize(sets.select("rep", "copies", F.coalesce("component", "rep").alias("class")), "sets")
     sizes = sets.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     inside = materialize(sets.join(sizes, "class").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")), "inside")
-    rows = docs.join(_small(inside), F.col("doc_id") == F.col("rep")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = docs.join(small(inside), F.col("doc_id") == F.col("rep")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     rows = rows.select("class", F.least("slice", "other").alias("one"), F.greatest("slice", "other").alias("two"), "slice", "doc_id", "copies", "text")
     rows = rows.repartition("class", "one", "two").sortWithinPartitions("class", "one", "two", "slice", "doc_id")
     more = rows.mapInArrow(_count(k, num, den), "rep bigint, more bigint").groupBy("rep").agg(F.sum("more").alias("more"))
     total = sets.select("rep", "copies").join(more, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links")).filter("links > 0")
     total = materialize(total, "total")
     release(sets, inside)
-    return member.join(_small(total), "rep").groupBy("doc_id").agg(F.max("links").alias("links"))
+    return member.join(small(total), "rep").groupBy("doc_id").agg(F.max("links").alias("links"))
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -356,32 +453,48 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.filter(F.col("doc_id").isNotNull())
+    drop_shuffles(spark)
     digests = materialize(docs.mapInArrow(_digest(k), "doc_id bigint, n_shingles bigint, one bigint, two bigint"), "digests")
-    full = digests.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    same = full.groupBy("one", "two", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"))
-    member = materialize(full.join(same, ["one", "two"]).filter("n = n_shingles").select("doc_id", "n", "rep").distinct(), "member")
-
-    signed = known.mapInArrow(_sign(k, num, den), "sig bigint, node bigint")
-    order = Window.partitionBy("sig").orderBy("node")
-    met = signed.select("sig", "node", F.min("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("node").over(order).alias("next"))
-    met = materialize(met.filter("node != first OR next != first").select("sig", "node", "first"), "met")
-
-    rep = member.select(F.col("doc_id").alias("node"), F.col("rep").alias("b"))
-    head = member.select(F.col("doc_id").alias("first"), F.col("rep").alias("a"))
-    stars = met.filter("node != first").select("node", "first").distinct().join(rep, "node").join(head, "first").filter("a != b")
-    stars = materialize(stars.select("a", "b").distinct(), "stars")
+    full = digests.filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "one", "two")
+    same = full.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    member = materialize(join_groups(full, same, ["one", "two", "n"], "members").select("doc_id", "n", "rep").distinct(), "member")
+
+    # A document of n shingles has about 1.5 * (den - num) / den * n * 3 signatures; a bucket has some half a million.
+    shingles = member.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 + shingles * 9 * (den - num) // (2 * den * NAMES)
+    signed = known.mapInArrow(_sign(k, num, den, buckets), "bucket int, kind int, blob binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
+    met = materialize(signed.mapInArrow(trimmed(_meet), "a bigint, b bigint, local boolean"), "met")
+    drop_shuffles(spark)
+    rep = small(materialize(member.select(F.col("doc_id").alias("_doc"), "rep").filter("_doc != rep"), "copies"))
+    named = met.distinct()
+    for side in ("a", "b"):
+        named = named.join(rep.withColumnsRenamed({"_doc": f"_{side}", "rep": f"r{side}"}), F.col(side) == F.col(f"_{side}"), "left").withColumn(side, F.coalesce(f"r{side}", side)).select("a", "b", "local")
+    pairs = materialize(named.filter("a != b").distinct(), "pairs")
     release(met)
+    # Who shares a signature with a step's least node is compared with all first nodes that one meets.
+    far, near = pairs.filter("NOT local").select("a", "b"), pairs.filter("local").select(F.col("a").alias("f"), F.col("b").alias("x"))
+    through = near.join(far, F.col("f") == F.col("b")).select("a", F.col("x").alias("b")).filter("a != b")
+    stars = materialize(far.unionByName(pairs.filter("local").select("a", "b")).unionByName(through).distinct(), "stars")
+    release(pairs)
     equal = member.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     first = compared(known, stars, k, num, den)
     linked = first.filter("linked").select("a", "b")
-    torn = _torn(stars, _classed(member, linked))
-    stars = _centred(torn, first)
-    linked = linked.unionByName(compared(known, stars, k, num, den).filter("linked").select("a", "b"))
     own = _classed(member, linked)
-    rest = materialize(_meeting(known, _torn(stars, own), own, k, num, den), "rest")
-    late = compared(known, rest, k, num, den).filter("linked").select("a", "b")
-    everything = linked.unionByName(late)
-    return digests, member, components(everything.unionByName(equal))
+    torn = _torn(stars, own)
+    centred = _centred(torn, first)
+    release(own, torn, stars)
+    drop_shuffles(spark)
+    second = compared(known, centred, k, num, den)
+    linked = linked.unionByName(second.filter("linked").select("a", "b"))
+    own = _classed(member, linked)
+    torn = _torn(centred, own)
+    drop_shuffles(spark)
+    rest = _meeting(known, torn, own, k, num, den)
+    drop_shuffles(spark)
+    late = compared(known, rest, k, num, den)
+    final = components(linked.unionByName(late.filter("linked").select("a", "b")).unionByName(equal))
+    release(own, torn, centred, rest, first, second, late)
+    return digests, member, final
 
 
 def _typed(docs: DataFrame) -> DataFrame:
