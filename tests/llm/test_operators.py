@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ def test_exact_dedup(docs, empty):
         assert (r["keep_id"], r["group_size"], r["text_sha256"]) == (max(x for x in groups[text] if x), len(groups[text]), hashlib.sha256(text.encode()).hexdigest())
     assert exact_dedup.exact_dedup(empty).count() == 0
     kept = exact_dedup.drop_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups) + 1  # the row without an id stays
+    assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
 def words(text):
@@ -72,8 +73,9 @@ def brute_classes(rows, k, num, den):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
-def test_ngram_join_against_all_pairs(spark, k, num):
+@pytest.mark.parametrize(("k", "num", "star"), [(4, 85, 512), (5, 80, 512), (5, 80, 2)])
+def test_ngram_join_against_all_pairs(spark, monkeypatch, k, num, star):
+    monkeypatch.setattr(ngram_join, "STAR", star)  # larger stars go through differences
     rng = np.random.default_rng(5)
     rows = [(i, t) for i, t in TEXTS if i]
     for c in range(12):
@@ -417,3 +419,98 @@ def test_chunks_give_the_tokenizer_s_own_ids():
         encoder, whole = tokens.Encoder(path, space), tokens.load(path)
         ids, at = encoder.encode(*common.byte_texts(pa.array(texts)))
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [whole.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def _slow_logit(w, text):
+    """The classifier's logit, spot by spot."""
+    half = quality.HALF
+    data = text + bytes(max(2, -(-len(text) // half)) * half - len(text))
+    spots = len(data) // quality.HOP
+    near = [w["embed"][list(data[4 * i : 4 * i + 4])].reshape(-1) for i in range(spots)]
+    response = [near[i] @ w["near"] + (near[i + 1] @ w["far"] if i + 1 < spots else 0) for i in range(spots)]
+    units = []
+    for at in range(0, len(data) - half, half):
+        pooled = np.max(response[at // 4 : (at + 2 * half) // 4], axis=0)
+        units.append(np.maximum(np.maximum(pooled + w["bias"], 0) @ w["dense"] + w["offset"], 0))
+    return float(np.concatenate([np.max(units, axis=0), np.mean(units, axis=0)]) @ w["out"] + w["level"][0])
+
+
+def test_classifier_forward_pass_against_a_slow_one():
+    rng = random.Random(2)
+    texts = [b"", b"a", bytes(rng.randrange(256) for _ in range(128)), b"x" * 129, bytes(rng.randrange(256) for _ in range(70_001))]
+    w = quality._start(3)
+    got = quality._forward(w, *quality._join(texts))
+    assert np.allclose(got, [_slow_logit(w, t) for t in texts], atol=1e-3)
+
+
+def test_samples_hold_whole_texts_of_any_length(spark):
+    from timbrel.llm import labelled
+
+    rows = [(i, "x" * (100_000 if i % 7 == 0 else 10)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(14, 1), (14, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    found, share = labelled.sample(docs, marks, "quality", 1000, 1 << 30)
+    used = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    want = {i: 1 if i == 14 else i % 2 for i in used}
+    assert sorted((len(t), y) for t, y in found) == sorted((len(dict(rows)[i]), y) for i, y in want.items())
+    assert share == pytest.approx(sum(want.values()) / len(want))
+    few, _ = labelled.sample(docs, marks, "quality", 1000, 250_000)
+    assert 0 < sum(len(t) for t, y in few if y == 1) <= 250_000
+
+
+def test_copies_of_rows_without_an_own_id_go(spark):
+    rows = [(1, "same", 5), (1, "same", 5), (2, "other", 6), (None, "null", 1), (None, "null", 2), (None, None, 3), (3, "", 4), (1, "b", 7), (2, "b", 8), (2, "same ", 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    got = exact_dedup.drop_copies(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, "same", 5), (2, "other", 6), (None, "null", 1), (3, "", 4), (2, "b", 8), (2, "same ", 9)]))
+
+
+def test_mixed_rows_are_in_order_of_their_slots(spark):
+    names = "node component rank _rank a b members slot place".split()
+    rows = [(None if i % 50 == 0 else i // 2 * 2 if i % 30 == 1 else i, "s" if i % 3 else None, *range(i, i + 9)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"{n} int" for n in names))
+    got = [tuple(r) for r in mixing.take_mix(frame).collect()]
+    assert Counter(got) == Counter(rows) and mixing.take_mix(frame).columns == frame.columns
+    slots = Counter()
+    for r in mixing.mix(frame).collect():
+        slots[r["doc_id"], r["source"]] += 1
+    assert slots == Counter((r[0], r[1]) for r in rows)
+    shares = [sum(r[1] is None for r in got[:at]) / at for at in (200, 300, 400)]
+    assert max(shares) - min(shares) < 0.05
+
+
+def _edited(words, rng, most):
+    words = list(words)
+    for _ in range(rng.randrange(most + 1)):
+        at = rng.randrange(len(words))
+        kind = rng.randrange(3)
+        if kind == 0:
+            words[at] = f"w{rng.randrange(99)}"
+        elif kind == 1 and len(words) > 6:
+            del words[at]
+        else:
+            words.insert(at, f"w{rng.randrange(99)}")
+    return words
+
+
+def test_license_scan_against_containment_by_loops(spark):
+    rng = random.Random(4)
+    split = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    known = {n: split(t) for n, t in license_scan.TEMPLATES.items()}
+    texts = []
+    for n, own in sorted(known.items()):
+        for most in (0, 1, 2, 2, 4, 4, 8):
+            before, after = ([f"x{rng.randrange(500)}" for _ in range(rng.randrange(40))] for _ in range(2))
+            texts.append(" ".join(before + _edited(own, rng, most) + after))
+    texts += ["", "too short", " ".join(f"y{i}" for i in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan(docs).collect():
+        s, want = grams(split(texts[r["doc_id"]])), {}
+        for n, own in known.items():
+            mine = set(grams(own))
+            near = [len(mine & set(s[max(0, i - len(grams(own))) : i + len(grams(own)) + license_scan.WINDOW])) / len(mine) for i in range(len(s)) if s[i] in mine]
+            if max(near, default=0) >= 0.8:
+                want[n] = max(near)
+        assert dict(zip(r["licenses"], r["containments"])) == pytest.approx(want), texts[r["doc_id"]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,13 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Sets a temporary one only where the session names none (tests, one machine)."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it. Where a session on one machine names none, it
+    gets a temporary folder; on a cluster that would lose rows, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="timbrel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -73,9 +78,12 @@ def _clean() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes, so that long texts do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches of bounded bytes, so that long texts do not fill a worker. The session's limits are lowered, and stay
+    so: results are lazy, and their batches are cut when they are read."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = str(spark.conf.get(name)).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -147,11 +155,10 @@ def _libc():
     return ctypes.CDLL(None)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (doc_id), and those whose doc_id is null: no decision names them."""
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``ids`` (doc_id), null ids among them."""
     ids = materialize(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "ids")
-    kept = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select(docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    return docs.join(small(ids), "doc_id", "left_anti").select(docs.columns)
 
 
 def byte_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import byte_texts, documents, keep_ids, materialize, small_batches
+from timbrel.llm.common import byte_texts, documents, drop_shuffles, join_groups, materialize, small, small_batches, trimmed
 
 BLOCK_BYTES = 4096
 
@@ -64,7 +64,7 @@ def _cut(size: int):
             members = {"rid": pc.take(batch.column("rid"), take), "doc_id": pc.take(batch.column("doc_id"), take), "pos": pa.array(pos), "blocks": pa.array(blocks[doc]), "sha": pc.take(batch.column("sha"), first)}
             yield _gather(keys, members, _KINDS)
 
-    return run
+    return trimmed(run)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _named(keyed: DataFrame) -> DataFrame:
     """Rows (rid, pos, blocks, doc_id, sha, name); equal keys have equal names, different keys different ones."""
     sorted_keys = keyed.repartition("key").sortWithinPartitions("key")
-    names = sorted_keys.mapInArrow(_rank, f"name bigint, members array<{_MEMBER}>")
+    names = sorted_keys.mapInArrow(trimmed(_rank), f"name bigint, members array<{_MEMBER}>")
     return names.select("name", F.inline("members"))
 
 
@@ -107,6 +107,7 @@ def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"))
     level = materialize(_named(rows.mapInArrow(_cut(block_bytes), f"key binary, members array<{_MEMBER}>")), "names")
     kept = ["rid", "doc_id", "sha", "blocks", "name"]
+    drop_shuffles(spark)
     done, width = level.filter("blocks = 1").select(kept), 1
     most = level.agg(F.max("blocks")).first()[0] or 1
     while width < most:
@@ -122,14 +123,28 @@ def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     names = block_names(docs, block_bytes)
-    groups = names.groupBy(F.col("blocks").alias("_blocks"), F.col("name").alias("_name")).agg(F.max(F.struct("doc_id", (-F.col("rid")).alias("rid"))).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    out = names.join(groups, (F.col("blocks") == F.col("_blocks")) & (F.col("name") == F.col("_name")))
+    groups = names.groupBy("blocks", "name").agg(F.max(F.struct("doc_id", (-F.col("rid")).alias("rid"))).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    out = join_groups(names, groups, ["blocks", "name"], "group_size")
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("rid") == -F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` (unique doc_id) that stay, with their columns."""
-    return keep_ids(docs, exact_dedup(docs.select("doc_id", "text"), block_bytes).filter("kept"))
+    """The rows of ``docs`` that stay, with their columns: of equal texts one row, also where ids are null or repeated. A
+    decision names a row by its id and its text's SHA-256; of rows that agree in both the first by their columns stays."""
+    found = materialize(exact_dedup(docs.select("doc_id", "text"), block_bytes), "found")
+    gone = found.filter("NOT doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    gone = small(materialize(gone, "gone"))
+    twins = found.filter("doc_id <=> keep_id").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("n"))
+    twins = small(materialize(twins.filter("n > 1").select("_id", "_sha"), "twins"))
+    mark = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), mark.alias("_mark"))
+    named = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_sha"))
+    kept = rows.join(gone, named, "left_anti")
+    if twins.isEmpty():
+        return kept.select("_row.*")
+    first = F.row_number().over(Window.partitionBy("_doc", "_mark").orderBy(F.to_json("_row")))
+    twice = kept.join(twins, named, "left_semi").withColumn("_nth", first).filter("_nth = 1")
+    return kept.join(twins, named, "left_anti").select("_row").unionByName(twice.select("_row")).select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

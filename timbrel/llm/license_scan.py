@@ -1,12 +1,11 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
 All is DataFrame expressions within a row; nothing is shuffled. A text's words (letters and digits, lower case) give
-5-word shingles, hashed. Windows of WINDOW shingles, one at every second shingle, have two MinHash bands of one value each:
-the least and the greatest hash. A template's windows at every shingle have the same two bands, so an unchanged window
-always collides in both, and a changed one does with the probability of its Jaccard similarity in each. Where at least 0.8
-of a template of 8 or more shingles is present, a run of 5 unchanged shingles is too (an inner change costs 4 shingles or
-more), and it holds a whole window: such occurrences are retrieved with certainty. Templates of fewer shingles have windows
-of one shingle, at every shingle, with the same certainty.
+5-word shingles, hashed. Windows of shingles, one at every shingle, have two MinHash bands of one value each: the least and
+the greatest hash. A template's windows have the same two bands, so an unchanged window always collides in both, and a
+changed one does with the probability of its Jaccard similarity in each. A template of n shingles of which the threshold
+lets m be missing keeps a run of (n - m) / (m + 1) or more of them; its windows are as long as that run, WINDOW at most. So
+an edited copy that reaches the threshold holds a whole window, and is retrieved with certainty.
 
 A retrieved template is verified at each of its windows: its distinct shingles that occur from its own length before the
 window to its own length behind it, divided by its number of shingles, must reach the threshold.
@@ -19,6 +18,9 @@ words are refused. Texts of any length are scanned whole.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from math import ceil
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,6 @@ from timbrel.llm.common import documents
 
 WORDS = 5
 WINDOW = 4
-LONG = 8
 CONTAINMENT = 0.8
 
 # Notices and headers of public licenses.
@@ -57,8 +58,14 @@ def _shingles(words: Column) -> Column:
     return F.when(F.size(words) >= WORDS, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _window(shingles: Column, i: Column, pick) -> Column:
-    return pick(*[F.get(shingles, i + n) for n in range(WINDOW)])
+def width(n: int, containment: float = CONTAINMENT) -> int:
+    """Shingles in a window of a template of ``n`` distinct ones."""
+    missing = n - ceil(containment * n - 1e-9)
+    return max(1, min(WINDOW, -(-(n - missing) // (missing + 1))))
+
+
+def _band(shingles: Column, i: Column, size: int, pick) -> Column:
+    return F.get(shingles, i) if size == 1 else pick(*[F.get(shingles, i + n) for n in range(size)])
 
 
 def _templates(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str, list[int]]]:
@@ -77,11 +84,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     """(doc_id, licenses, containments, first_words) for each row of ``docs`` (doc_id, text): the templates found, in
     order of name, with the best containment of each and the word its first verified window begins at."""
     known = sorted(_templates(docs.sparkSession, TEMPLATES if templates is None else templates))
-    long = {n: s for n, s in known if len(set(s)) >= LONG}
-    least = {n: [min(s[i : i + WINDOW]) for i in range(len(s))] for n, s in long.items()}
-    most = {n: [max(s[i : i + WINDOW]) for i in range(len(s))] for n, s in long.items()}
-    short = sorted({h for n, s in known if n not in long for h in s})
-    low, high = (sorted({h for s in band.values() for h in s}) for band in (least, most))
+    sizes = {n: width(len(set(s)), containment) for n, s in known}
+    bands = {n: [(pick, column, sorted({pick(s[i : i + sizes[n]]) for i in range(len(s) + 1 - sizes[n])})) for pick, column in ((min, F.least), (max, F.greatest))] for n, s in known}
+    shared: dict[tuple, set[int]] = {}
+    for n, of in bands.items():
+        for pick, column, values in of:
+            shared.setdefault((sizes[n], column), set()).update(values)
 
     # Each step is a column of its own, so that no expression is evaluated again for each element.
     rows = docs.select("doc_id", words_of(F.col("text")).alias("_words"))
@@ -89,8 +97,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     s = F.col("_s")
 
     def hit(i: Column) -> Column:
-        wide = (i % 2 == 0) & (_window(s, i, F.least).isin(low) | _window(s, i, F.greatest).isin(high))
-        return F.get(s, i).isin(short) | wide
+        return reduce(or_, [_band(s, i, size, column).isin(sorted(values)) for (size, column), values in shared.items()])
 
     places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), hit)
     rows = rows.select("doc_id", "_s", F.when(F.size(s) > 0, places).otherwise(F.array().cast("array<int>")).alias("_hits"))
@@ -98,10 +105,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
 
     def found(name: str, own: list[int]) -> Column:
         size, mine = len(set(own)), _longs(own)
-        if name in long:
-            met = lambda i: (i % 2 == 0) & (_window(s, i, F.least).isin(sorted(set(least[name]))) | _window(s, i, F.greatest).isin(sorted(set(most[name]))))
-        else:
-            met = lambda i: F.get(s, i).isin(sorted(set(own)))
+        def met(i: Column) -> Column:
+            return reduce(or_, [_band(s, i, sizes[name], column).isin(values) for _, column, values in bands[name]])
 
         def contained(i: Column) -> Column:
             near = F.slice(s, F.greatest(F.lit(1), i + 1 - len(own)), 2 * len(own) + WINDOW)

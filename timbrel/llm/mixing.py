@@ -27,10 +27,10 @@ from math import gcd, lcm
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import BROADCAST_IDS, bucket_bits, documents, hash_bucket, keep_ids, ranked
+from timbrel.llm.common import BROADCAST_IDS, bucket_bits, documents, hash_bucket, materialize, ranked, small
 
 #: Slots of the schedule that are handed to Spark at a time.
 PERIOD = 4096
@@ -98,17 +98,33 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     table = _slots(spark, list(times.values()), period)
     if sum(blocks.values()) <= BROADCAST_IDS:
         table = F.broadcast(table)
+    if len(times) <= BROADCAST_IDS:
+        sizes = F.broadcast(sizes)
     code = F.xxhash64("doc_id")
     numbered = ranked(rows, ["source"], [code, F.col("doc_id")], hash_bucket(code, bucket_bits(sum(counts.values()))), "_rank")
-    numbered = numbered.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("_named")), "left").withColumn("block", F.floor(F.col("_rank") / block_docs).cast("long"))
+    numbered = numbered.join(sizes, F.col("source").eqNullSafe(F.col("_named")), "left").withColumn("block", F.floor(F.col("_rank") / block_docs).cast("long"))
     timed = numbered.join(table, (F.col("_number") == F.col("_source")) & (F.col("block") == F.col("_turn")), "left")
     slot = F.col("_time")
     return timed.select("doc_id", "source", "block", slot.alias("slot"), (F.col("_rank") % block_docs).cast("int").alias("place"), (F.lit(True) if end is None else F.coalesce(slot < end, F.lit(False))).alias("selected"))
 
 
 def take_mix(docs: DataFrame, weights: dict | None = None) -> DataFrame:
-    """The rows of ``docs`` (unique doc_id) that the mix selects, with their columns."""
-    return keep_ids(docs, mix(docs, weights).filter("selected"))
+    """The rows of ``docs`` that the mix selects, with their columns, in its order: partitions are ranges of slots, each in
+    order of slot and place. Rows with one id and source take their slots in order of their other columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_from"))
+    found = materialize(mix(docs, weights), "mix")
+    often = found.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "source")
+    often = small(materialize(often, "often"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_from").eqNullSafe(F.col("source"))
+    both = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & F.col("x.source").eqNullSafe(F.col("y.source"))
+    once = found.alias("x").join(often.alias("y"), both, "left_anti")
+    out = rows.join(F.broadcast(once) if found.count() <= BROADCAST_IDS else once, same).filter("selected").select("_row", "slot", "place")
+    if not often.isEmpty():
+        nth = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        mine = rows.join(often, same, "left_semi").withColumn("_nth", nth(("_id", "_from"), F.to_json("_row")))
+        slots = found.alias("x").join(often.alias("y"), both, "left_semi").withColumn("nth", nth(("doc_id", "source"), F.col("slot"), F.col("place")))
+        out = out.unionByName(mine.join(slots, same & (F.col("_nth") == F.col("nth"))).filter("selected").select("_row", "slot", "place"))
+    return out.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("_row.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,19 @@ given out; a set with more than ``slack`` parts that have one also takes part in
 deal suits it. Two similar sets that both need the further deal meet there; otherwise the earlier deal shows a shared
 signature with elements. So no link is lost and no signature is common by emptiness.
 
-Classes come first. Within a signature all sets are compared with the first one, and connected components
-are formed. What is still apart needs proof: for sets x and y that were compared with the same first set a, the Hamming
-distance of x and y is that of their differences from a (first stars are dealt again around a central set), so with |Dx| + |Dy| above what similarity allows, x and y must
-share a certain number of elements of Dx and Dy. At least one of them was not similar to a, hence that number is never
-less than one, and about half of D where the other is not similar to a. Differences are put in order of their frequency
-beside a, rarest first, and only pairs that meet in the prefixes which that number leaves are compared. Thousands of
-near-copies thus cost one comparison each, and thousands of variants that are nearly similar cost their own edits, not all
-pairs. Sets that are equal count as one, by a 128-bit digest; every other link is decided on the texts' own shingles.
+However many documents share a signature, a task sends it once for each load of documents, with the least of them, and the
+others as its partners in that load. Where the signature's loads meet, the least document of all is the centre of a star;
+its members are the other loads' least ones, and all their partners. A star of bounded size is compared in one task, all
+members with each other, and components are formed.
+
+In a larger star all members are compared with the centre first. What is still apart needs proof: for sets x and y that
+were compared with the same first set a, the Hamming distance of x and y is that of their differences from a (first stars
+are dealt again around a central set), so with |Dx| + |Dy| above what similarity allows, x and y must share a certain
+number of elements of Dx and Dy. At least one of them was not similar to a, hence that number is never less than one, and
+about half of D where the other is not similar to a. Differences are put in order of their frequency beside a, rarest
+first, and only pairs that meet in the prefixes which that number leaves are compared. Thousands of near-copies thus cost
+one comparison each, and thousands of variants that are nearly similar cost their own edits, not all pairs. Sets are those
+of 64-bit hashes of shingles; sets that are equal by a 128-bit digest of those count as one.
 
 Then links are counted. Each is inside a class, so all pairs of a class's distinct sets are compared, a slice of them with
 another in one task, and count with the copies on either side.
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, pairwise
 
 import numpy as np
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import byte_texts, documents, drop_shuffles, join_groups, keep_ids, materialize, release, small, small_batches, steps, trimmed
+from timbrel.llm.common import byte_texts, documents, drop_ids, drop_shuffles, join_groups, materialize, release, small, small_batches, steps, trimmed
 from timbrel.llm.components import components
 from timbrel.llm.shingles import mix, shingle_sets
 
@@ -48,8 +54,15 @@ SLICE = 256
 CELLS = 1 << 21
 #: Bits of a signature that are kept; more documents than those tell apart cost comparisons, no links.
 NAME_BITS = 48
-#: Signatures in one bucket, about.
+#: Signatures in one bucket, about; and in one load of a task, of less than 2**PLACE_BITS documents.
 NAMES = 1 << 19
+LOAD = 1 << 20
+PLACE_BITS = 16
+#: Members and shingles of a star whose pairs are all compared in one task.
+STAR = 512
+STAR_SHINGLES = 1 << 21
+#: Bytes of text of one step.
+STEP = 1 << 19
 #: Digests that a task remembers, to give out the signatures of equal sets once.
 SEEN = 200_000
 
@@ -130,7 +143,7 @@ def _digests(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
     for batch in batches:
-        for part in steps(batch, "text"):
+        for part in steps(batch, "text", STEP):
             yield part, *shingle_sets(*byte_texts(part.column("text")), k)
 
 
@@ -143,24 +156,23 @@ def _digest(k: int):
     return trimmed(run)
 
 
-def _pack(names: np.ndarray, nodes: np.ndarray) -> bytes:
-    """Ascending signatures (48 bits) with a node each; numbers are stored as differences, byte by byte, and compressed."""
+def _pack(names: np.ndarray, place: np.ndarray, nodes: np.ndarray) -> bytes:
+    """Ascending signatures with the places of their nodes; numbers are stored as differences, byte by byte, compressed."""
     import zstandard
 
-    ids, place = np.unique(nodes, return_inverse=True)
-    width = 2 if len(ids) <= 1 << 16 else 4
-    cells = [np.diff(names, prepend=names.dtype.type(0)), np.diff(ids, prepend=0), place.astype(f"<u{width}")]
+    used, place = np.unique(place, return_inverse=True)
+    cells = [np.diff(names, prepend=np.uint64(0)), np.diff(nodes[used], prepend=0), place.astype("<u2")]
     planes = [x.astype(f"<{x.dtype.kind}{x.dtype.itemsize}").view(np.uint8).reshape(len(x), -1).T.tobytes() for x in cells]
-    return struct.pack("<IIB", len(names), len(ids), width) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return struct.pack("<II", len(names), len(used)) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    n, m, width = struct.unpack_from("<IIB", blob)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[9:], max_output_size=8 * n + 8 * m + width * n), np.uint8)
+    n, m = struct.unpack_from("<II", blob)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=10 * n + 8 * m), np.uint8)
     part = lambda at, count, size, kind: np.ascontiguousarray(raw[at : at + count * size].reshape(size, count).T).view(kind)[:, 0]
-    names, ids, place = part(0, n, 8, "<u8"), part(8 * n, m, 8, "<i8"), part(8 * n + 8 * m, n, width, f"<u{width}")
+    names, ids, place = part(0, n, 8, "<u8"), part(8 * n, m, 8, "<i8"), part(8 * n + 8 * m, n, 2, "<u2")
     return np.cumsum(names, dtype=np.uint64), np.cumsum(ids)[place]
 
 
@@ -169,11 +181,31 @@ def _rows(buckets, kinds, blobs) -> pa.RecordBatch:
 
 
 def _sign(k: int, num: int, den: int, buckets: int):
-    """Rows (bucket, kind, blob): of each signature in a step its least node (kind 0, by ranges of signatures), and the
-    other nodes beside that one (kind 1, pairs). However common a signature is, a step sends it once."""
+    """Rows (bucket, kind, blob): of each signature in a load of documents its least node (kind 0, by ranges of signatures),
+    and the other nodes beside that one (kind 1, pairs). However common a signature is, a load sends it once."""
+    cut = np.array([(i << NAME_BITS) // buckets for i in range(1, buckets)], np.uint64)
+
+    def load(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, place = np.unique(np.concatenate([x for _, x in held]), return_inverse=True)
+        # A signature and its node's place, in one number.
+        both = np.sort(np.concatenate([x for x, _ in held]) << np.uint64(PLACE_BITS) | place.astype(np.uint64))
+        names, place = both >> np.uint64(PLACE_BITS), (both & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        first = np.ones(len(names), bool)
+        first[1:] = names[1:] != names[:-1]
+        least = place[first][np.cumsum(first) - 1]
+        other = place != least
+        pairs = np.unique(least[other] << PLACE_BITS | place[other])
+        names, place = names[first], place[first]
+        cuts = [0, *np.searchsorted(names, cut).tolist(), len(names)]
+        found = [(i, _pack(names[a:b], place[a:b], ids)) for i, (a, b) in enumerate(pairwise(cuts)) if b > a]
+        yield _rows([i for i, _ in found], [0] * len(found), [x for _, x in found])
+        if len(pairs):
+            near = np.stack([ids[pairs >> PLACE_BITS], ids[pairs & ((1 << PLACE_BITS) - 1)]], axis=1)
+            yield _rows([int(near[0, 0]) % buckets], [1], [near.astype("<i8").tobytes()])
 
     def run(batches):
         seen: set[bytes] = set()
+        held, size, documents = [], 0, 0
         for part, h, at in _sets(batches, k):
             new = np.zeros(part.num_rows, bool)
             digests = np.stack(_digests(h, at), axis=1)
@@ -190,21 +222,16 @@ def _sign(k: int, num: int, den: int, buckets: int):
             names, rows = signatures(h[kept], ends, num, den)
             if not len(names):
                 continue
-            names, nodes = names >> np.uint64(64 - NAME_BITS), part.column("doc_id").to_numpy()[rows]
-            order = np.lexsort((nodes, names))
-            names, nodes = names[order], nodes[order]
-            first = np.ones(len(names), bool)
-            first[1:] = names[1:] != names[:-1]
-            least = nodes[first][np.cumsum(first) - 1]
-            with_other = nodes != least
-            pairs = np.unique(np.stack([least[with_other], nodes[with_other]], axis=1), axis=0)
-            names, nodes = names[first], nodes[first]
-            edges = [(i << NAME_BITS) // buckets for i in range(1, buckets)]
-            cuts = [0, *np.searchsorted(names, np.array(edges, np.uint64)).tolist(), len(names)]
-            found = [(i, _pack(names[a:b], nodes[a:b])) for i, (a, b) in enumerate(pairwise(cuts)) if b > a]
-            yield _rows([i for i, _ in found], [0] * len(found), [x for _, x in found])
-            if len(pairs):
-                yield _rows([int(pairs[0, 0]) % buckets], [1], [pairs.astype("<i8").tobytes()])
+            if documents + part.num_rows >= 1 << PLACE_BITS:
+                yield from load(held)
+                held, size, documents = [], 0, 0
+            held.append((names >> np.uint64(64 - NAME_BITS), part.column("doc_id").to_numpy()[rows]))
+            size, documents = size + len(names), documents + part.num_rows
+            if size >= LOAD:
+                yield from load(held)
+                held, size, documents = [], 0, 0
+        if held:
+            yield from load(held)
 
     return trimmed(run)
 
@@ -219,11 +246,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def met():
         names, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((nodes, names))
+        order = np.argsort(names, kind="stable")  # merges the sorted runs
         names, nodes = names[order], nodes[order]
-        first = np.ones(len(names), bool)
-        first[1:] = names[1:] != names[:-1]
-        least = nodes[first][np.cumsum(first) - 1]
+        first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        least = np.repeat(np.minimum.reduceat(nodes, first), np.diff(np.append(first, len(names))))
         other = nodes != least
         return out(*np.unique(np.stack([least[other], nodes[other]], axis=1), axis=0).T, False)
 
@@ -382,35 +408,94 @@ def _meeting(docs: DataFrame, torn: DataFrame, own: DataFrame, k: int, num: int,
     return rest
 
 
-def _similar(held: list[tuple[int, int, int, np.ndarray]], cross: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """(doc_id, documents with a similar other set) from rows (slice, doc_id, copies, set): all pairs of two slices, or of
-    one. What two sets share is a product of 0/1 matrices, some columns at a time; elements of one set alone are left out."""
-    side, ids, copies = (np.array([x[j] for x in held], np.int64) for j in range(3))
-    size = np.array([len(x[3]) for x in held], np.int64)
-    left = np.flatnonzero(side == side[0]) if len(held) else side
-    right = np.flatnonzero(side != side[0]) if cross and len(held) else left
-    if not len(right) or len(held) < 2:
-        return []
-    _, column, often = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements the sets ``left`` and ``right`` share: a product of 0/1 matrices, some columns at a time; elements
+    of one set alone are left out."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = often > 1
-    row = np.repeat(np.arange(len(held)), size)[shared[column]]
+    row = np.repeat(np.arange(len(sets)), size)[shared[column]]
     column = (np.cumsum(shared) - 1)[column[shared[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     both = np.zeros((len(left), len(right)), np.int64)
-    width = max(64, CELLS // len(held))
+    width = max(64, min(CELLS // len(sets), int(shared.sum())))
     for low in range(0, int(shared.sum()), width):
         part = slice(*np.searchsorted(column, [low, low + width]))
-        table = np.zeros((len(held), width), np.float32)
+        table = np.zeros((len(sets), width), np.float32)
         table[row[part], column[part] - low] = 1
         both += (table[left] @ table[right].T).astype(np.int64)
-    linked = (both > 0) & (den * both >= num * (size[left][:, None] + size[right] - both))
+    return both
+
+
+def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    size = np.array([len(x) for x in sets], np.int64)
+    both = _shared(sets, left, right)
+    return (both > 0) & (den * both >= num * (size[left][:, None] + size[right] - both))
+
+
+def _similar(held: list[tuple[int, int, int, np.ndarray]], cross: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """(doc_id, documents with a similar other set) from rows (slice, doc_id, copies, set): all pairs of two slices, or of
+    one."""
+    side, ids, copies = (np.array([x[j] for x in held], np.int64) for j in range(3))
+    left = np.flatnonzero(side == side[0]) if len(held) else side
+    right = np.flatnonzero(side != side[0]) if cross and len(held) else left
+    if not len(right) or len(held) < 2:
+        return []
+    linked = _linked([x[3] for x in held], left, right, num, den)
     if not cross:
         np.fill_diagonal(linked, False)
         return list(zip(ids.tolist(), (linked @ copies).tolist(), strict=True))
     return [*zip(ids[left].tolist(), (linked @ copies[right]).tolist(), strict=True), *zip(ids[right].tolist(), (linked.T @ copies[left]).tolist(), strict=True)]
 
 
+def _inside(k: int, num: int, den: int):
+    """Rows (a, b): for each star the components that the links among all its members form, as edges to their least."""
+
+    def edges(held: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+        all_of = np.arange(len(held))
+        linked = _linked([x for _, x in held], all_of, all_of, num, den)
+        out, left = [], np.ones(len(held), bool)
+        for i in range(len(held)):
+            if not left[i]:
+                continue
+            reach, more = np.zeros(len(held), bool), linked[i] & left
+            more[i] = True
+            while (more & ~reach).any():
+                reach |= more
+                more = linked[reach].any(axis=0) & left
+            left &= ~reach
+            out += [(held[i][0], held[j][0]) for j in np.flatnonzero(reach).tolist() if j != i]
+        return out
+
+    def run(batches):
+        now, held = None, []
+        for part, h, at in _sets(batches, k):
+            out: list[tuple[int, int]] = []
+            for i, (star, doc) in enumerate(zip(part.column("a").to_pylist(), part.column("doc_id").to_pylist(), strict=True)):
+                if star != now:
+                    out += edges(held) if len(held) > 1 else []
+                    now, held = star, []
+                if not held or held[-1][0] != doc:
+                    held.append((doc, h[at[i] : at[i + 1]].copy()))
+            yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in range(2)], names=["a", "b"])
+        out = edges(held) if len(held) > 1 else []
+        yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in range(2)], names=["a", "b"])
+
+    return trimmed(run)
+
+
+def _within(docs: DataFrame, stars: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside stars of bounded size; each star's texts meet in one task."""
+    members = materialize(stars.unionByName(stars.select("a", F.col("a").alias("b")).distinct()), "members")
+    ids = materialize(members.select(F.col("b").alias("doc_id")).distinct(), "ids")
+    texts = materialize(docs.join(small(ids), "doc_id", "left_semi"), "texts")
+    rows = texts.join(small(members), F.col("doc_id") == F.col("b")).select("a", "doc_id", "text")
+    out = materialize(rows.repartition("a").sortWithinPartitions("a", "doc_id").mapInArrow(_inside(k, num, den), "a bigint, b bigint"), "links")
+    release(members, ids, texts)
+    return out
+
+
 def _count(k: int, num: int, den: int):
     def run(batches):
         now, held = None, []
@@ -448,6 +533,24 @@ def _links(docs: DataFrame, member: DataFrame, final: DataFrame, k: int, num: in
     return member.join(small(total), "rep").groupBy("doc_id").agg(F.max("links").alias("links"))
 
 
+def _between(docs: DataFrame, stars: DataFrame, member: DataFrame, linked: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of large stars that together with ``linked`` form their classes."""
+    first = compared(docs, stars, k, num, den)
+    linked = linked.unionByName(first.filter("linked").select("a", "b"))
+    own = _classed(member, linked)
+    torn = _torn(stars, own)
+    centred = _centred(torn, first)
+    release(own, torn)
+    second = compared(docs, centred, k, num, den)
+    linked = linked.unionByName(second.filter("linked").select("a", "b"))
+    own = _classed(member, linked)
+    torn = _torn(centred, own)
+    rest = _meeting(docs, torn, own, k, num, den)
+    late = compared(docs, rest, k, num, den)
+    release(own, torn, centred, rest)
+    return reduce(DataFrame.unionByName, [x.filter("linked").select("a", "b") for x in (first, second, late)])
+
+
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The digests of all rows, each document's representative, and the components of all links."""
     spark = docs.sparkSession
@@ -477,23 +580,17 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     stars = materialize(far.unionByName(pairs.filter("local").select("a", "b")).unionByName(through).distinct(), "stars")
     release(pairs)
     equal = member.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = compared(known, stars, k, num, den)
-    linked = first.filter("linked").select("a", "b")
-    own = _classed(member, linked)
-    torn = _torn(stars, own)
-    centred = _centred(torn, first)
-    release(own, torn, stars)
-    drop_shuffles(spark)
-    second = compared(known, centred, k, num, den)
-    linked = linked.unionByName(second.filter("linked").select("a", "b"))
-    own = _classed(member, linked)
-    torn = _torn(centred, own)
-    drop_shuffles(spark)
-    rest = _meeting(known, torn, own, k, num, den)
+    reps = small(materialize(member.select(F.col("rep").alias("_rep"), "n").distinct(), "reps"))
+    sizes = stars.join(reps, F.col("b") == F.col("_rep")).groupBy("a").agg((F.count(F.lit(1)) < STAR).alias("few"), (F.sum("n") <= STAR_SHINGLES).alias("short"))
+    sizes = materialize(sizes, "sizes")
+    linked = _within(known, stars.join(small(sizes.filter("few AND short").select("a")), "a"), k, num, den)
+    large = materialize(stars.join(small(sizes.filter("NOT (few AND short)").select("a")), "a"), "large")
+    release(stars, sizes)
     drop_shuffles(spark)
-    late = compared(known, rest, k, num, den)
-    final = components(linked.unionByName(late.filter("linked").select("a", "b")).unionByName(equal))
-    release(own, torn, centred, rest, first, second, late)
+    if not large.isEmpty():
+        linked = linked.unionByName(_between(known, large, member, linked, k, num, den))
+        drop_shuffles(spark)
+    final = components(linked.unionByName(equal))
     return digests, member, final
 
 
@@ -516,10 +613,10 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
 
 def keep_one_of_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` (unique doc_id) that are the smallest of their class, with their columns."""
+    """The rows of ``docs`` that are the smallest of their class, with their columns. Rows with one doc_id count as one
+    document; those without are in no class and stay."""
     digests, _, final = _classes(_typed(docs), k, num, den)
-    classes = _placed(digests, final)
-    return keep_ids(docs, classes.filter("doc_id = component_id"))
+    return drop_ids(docs, _placed(digests, final).filter("doc_id != component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

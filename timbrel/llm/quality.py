@@ -5,8 +5,8 @@ of 256 bytes that overlap by half; a dense layer reads each chunk's pooled respo
 mean over all chunks of the document, combine into one probability. Every byte of a text is read; a document is scored in
 memory proportional to its own length.
 
-The network is fitted on the driver on at most SAMPLE labelled documents of each class (of at most SAMPLE_BYTES bytes
-each), none from the held-out fold; its output is set to the class shares of all labelled rows. Its weights, some 20 KB,
+The network is fitted on the driver on at most SAMPLE labelled documents of each class, whole texts of any length and
+SAMPLE_BYTES together at most, none from the held-out fold; its output is set to the class shares of all labelled rows. Its weights, some 20 KB,
 travel in the task's closure.
 
 Cases: null and empty texts are scored as a text without bytes; without labelled rows of both classes every score is the
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import byte_texts, documents, small_batches, steps
+from timbrel.llm.common import byte_texts, documents, small_batches, steps, trimmed
 from timbrel.llm.labelled import held_out, sample
 
 SAMPLE = 2000
-SAMPLE_BYTES = 16_384
+#: Bytes of the sample's texts of one class together; the sample ends where they are used up.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
 
 HOP, HALF = 4, 128
@@ -167,7 +168,7 @@ def _score(w: dict[str, np.ndarray] | float):
             for part in steps(batch, "text", 1 << 19):
                 yield pa.record_batch([part.column("doc_id"), pa.array(_values(w, part))], names=["doc_id", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def scored(docs: DataFrame, weights: dict[str, np.ndarray] | float) -> DataFrame:
@@ -190,7 +191,7 @@ def _keep(w: dict[str, np.ndarray] | float, threshold: float):
             for part in steps(batch, "text", 1 << 19):
                 yield part.filter(pa.array(_values(w, part) >= threshold))
 
-    return run
+    return trimmed(run)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -7,8 +7,8 @@ through all automata at once, a byte at a time, in numpy. A hit's window of word
 and words of reporting speak for quotation, direct address, shouting and further hits for abuse. A document's score is
 one minus the product of its terms' doubts; a term's probability comes from the sample, apart for exact and misspelt.
 
-Only the lexicon is fitted on a bounded sample (SAMPLE documents of each class, of at most SAMPLE_BYTES bytes, none from
-the held-out fold); every byte of every text is read.
+Only the lexicon is fitted on a bounded sample (SAMPLE documents of each class, whole texts of SAMPLE_BYTES together at
+most, none from the held-out fold); every byte of every text is read.
 
 Cases: null and empty texts, and texts without a hit, have the share of toxic documents among those without a hit;
 without labels the base list and fixed probabilities hold; an empty table gives an empty result; other columns are
@@ -34,7 +34,8 @@ from timbrel.llm.labelled import held_out, sample
 from timbrel.llm.shingles import mix
 
 SAMPLE = 2000
-SAMPLE_BYTES = 16_384
+#: Bytes of the sample's texts of one class together; the sample ends where they are used up.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.5
 WINDOW = 6
 #: Terms of so many letters are found misspelt only where that is no word of the sample's documents that aren't toxic.

@@ -228,8 +228,7 @@ def read_shards(files: DataFrame) -> DataFrame:
     shards = files.select(F.col("part").alias("_part"), F.col("shard").alias("_shard"), F.coalesce(before, F.lit(0)).alias("_in_part"))
     parts = files.groupBy(F.col("part").alias("p")).agg(F.sum("tokens").alias("n"))
     starts = parts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
-    # One file a batch: a worker holds one shard.
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    small_batches(files.sparkSession)
     docs = files.select("part", "shard", "file").mapInArrow(_read, "doc_id bigint, part int, shard int, inside bigint, n_tokens bigint, ids_crc32 bigint")
     placed = docs.join(shards, (F.col("part") == F.col("_part")) & (F.col("shard") == F.col("_shard"))).join(starts, F.col("part") == F.col("p"))
     return placed.select("doc_id", (F.col("_from") + F.col("_in_part") + F.col("inside")).cast("long").alias("start"), "n_tokens", "ids_crc32")
