@@ -56,7 +56,7 @@ def test_low_coverage_falls_back(spark):
 
 
 def test_names_and_aliases():
-    assert engine.named("K8S").name == "cri"
+    assert engine.named("K8S").name == "kubernetes"
     with pytest.raises(ValueError, match="nginx"):
         engine.named("nginx-acess")
 
@@ -85,3 +85,16 @@ def test_path_guard(tmp_path):
     with pytest.raises(text.PathError):
         text.check_path(str(tmp_path / "x.log"), allowed=["/nowhere"])
     assert text.check_path(str(tmp_path / "x.log")).endswith("x.log")
+
+
+def test_lines_end_at_line_ends_only(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes("a\x0cb c\r\nd\x85\n\ne".encode())
+    assert [(r["line_number"], r["raw"]) for r in text.read_logs(spark, str(tmp_path / "a.log")).orderBy("line_number").collect()] == [(1, "a\x0cb c"), (2, "d\x85"), (3, ""), (4, "e")]
+    for n in range(3):
+        (tmp_path / f"p{n}.txt").write_text("".join(f"{n} {i}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = text.read_plain(spark, *[str(tmp_path / f"p{n}.txt") for n in range(3)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["log_path"][-5], r["line_number"], r["raw"]) for r in rows) == sorted((str(n), i + 1, f"{n} {i}") for n in range(3) for i in range(500))

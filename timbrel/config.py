@@ -40,12 +40,19 @@ class Security:
     max_file_size_mb: int = 2048
 
 
+@dataclass(frozen=True)
+class Output:
+    color: bool = True
+    show_remediation: bool = True
+
+
 @dataclass(frozen=True)
 class Config:
     analysis: Analysis = field(default_factory=Analysis)
     inference: Inference = field(default_factory=Inference)
     state: State = field(default_factory=State)
     security: Security = field(default_factory=Security)
+    output: Output = field(default_factory=Output)
 
 
 #: Least values; True: the least value itself is not allowed.
@@ -62,13 +69,17 @@ def load(path: str | None = None) -> Config:
         data = tomllib.loads(found[0].read_text())
     except (OSError, tomllib.TOMLDecodeError) as e:
         raise ConfigError(f"{found[0]}: {e}") from e
-    kinds = {"analysis": Analysis, "inference": Inference, "state": State, "security": Security}
+    kinds = {"analysis": Analysis, "inference": Inference, "state": State, "security": Security, "output": Output}
     parts = {}
     for name, values in data.items():
         known = {f.name: f for f in fields(kinds[name])} if name in kinds else {}
         if name not in kinds or not isinstance(values, dict) or set(values) - set(known):
             raise ConfigError(f"{found[0]}: unknown setting in {name}")
         for key, value in values.items():
+            kind = type(known[key].default)
+            fits = isinstance(value, list) and all(isinstance(v, str) for v in value) if kind is tuple else type(value) is kind or (kind is float and type(value) is int)
+            if not fits:
+                raise ConfigError(f"{found[0]}: {name}.{key} is no {'list of texts' if kind is tuple else kind.__name__}")
             low, strict = _LEAST.get(key, (None, False))
             if isinstance(value, (int, float)) and low is not None and (value < low or strict and value == low or value > _MOST.get(key, value)):
                 raise ConfigError(f"{found[0]}: {name}.{key} is out of range")

@@ -11,7 +11,7 @@ from timbrel.functions import severity as S
 ISO = r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:\s?(?:Z|[+-]\d\d:?\d\d))?)"
 SLASH = r"(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d(?:\.\d+)?)"
 BSD = r"([A-Z][a-z]{2}\s+\d{1,2} \d\d:\d\d:\d\d)"
-CTIME = r"([A-Z][a-z]{2} [A-Z][a-z]{2}\s+\d{1,2} \d\d:\d\d:\d\d(?:[.:]\d+)? \d{4})"
+CTIME = r"([A-Z][a-z]{2} [A-Z][a-z]{2}\s+\d{1,2} \d\d:\d\d:\d\d(?:\.\d+)? \d{4})"
 DMY = r"(\d{1,2}-[A-Z][a-z]{2}-\d{4} \d\d:\d\d:\d\d(?:\.\d+)?)"
 CLF_STAMP = r"(\d{1,2}/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4})"
 LEVEL = r"(TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|SEVERE|CRITICAL|FATAL|ALERT|EMERG|PANIC)"
@@ -64,7 +64,43 @@ _GO = {"I": "info", "W": "warning", "E": "error", "F": "critical", "D": "debug"}
 _JUL = {"SEVERE": "error", "CONFIG": "info", "FINE": "debug", "FINER": "debug", "FINEST": "debug"}
 _POSTGRES = {"FATAL": "critical", "PANIC": "critical", "ERROR": "error", "WARNING": "warning", "LOG": "info", "DETAIL": "info", "HINT": "info", "STATEMENT": "info", "CONTEXT": "info"}
 
+
+
+def _redis(parts: dict[str, Column]) -> Column:
+    bad = S.any_phrase(F.lower(parts["message"]), ["oom", "out of memory", "crashed", "panic", "corruption", "failed", "can't save", "fork", "rdb", "aof error"])
+    return F.when(parts["symbol"] == ".", "debug").when(parts["symbol"] != "#", "info").when(bad, "error").otherwise("warning")
+
+
+# Words in audit trails and Wi-Fi messages that raise a line's severity.
+_AUDIT_FAILURE = r"(?i)\b(?:fail(?:ed|ure)?|denied|invalid|error|reject(?:ed)?|unauthorized|forbidden|lockout|locked)\b"
+_WPA_SEEN = r"CTRL-EVENT-|SME:|Trying to associate|WPA:|Trying to authenticate|Associated with|EAP|key negotiation|RSN:|deauthenticat|pre-shared key"
+_WPA_ERRORS = ["DISCONNECTED", "AUTH-REJECT", "CONNECTION-LOST", "TEMP-DISABLED", "handshake failed", "WRONG-KEY", "authentication with", "deauthenticat", "failed"]
+_WPA_WARNINGS = ["SCAN-FAILED", "ASSOC-REJECT", "retr", "timeout", "Failed to initiate", "reason="]
+_PING_ATTACKS = ["connection_drop", "attack", "abuse", "blocked", "decoy", "backend_error"]
+_PING_LEVELS = {"information": "info", "mild_warning": "warning", "severe_warning": "warning", "mild_error": "error", "severe_error": "error", "fatal_error": "critical"}
+
+
+def _wpa(parts: dict[str, Column]) -> Column:
+    return F.when(S.any_phrase(parts["message"], _WPA_ERRORS), "error").when(S.any_phrase(parts["message"], _WPA_WARNINGS), "warning").otherwise("info")
+
+
+def _audit(parts: dict[str, Column]) -> Column:
+    return F.when(parts["level"].isNotNull(), S.level(parts["level"])).when(parts["message"].rlike(_AUDIT_FAILURE), "warning").otherwise("info")
+
+
+def _answered(parts: dict[str, Column]) -> Column:
+    code = F.regexp_extract(parts["message"], r"\|\s*(\d+)\s*$", 1).try_cast("int")
+    return F.when(parts["level"].isNotNull(), S.level(parts["level"])).when(code.between(500, 599), "error").when(code.between(400, 499), "warning").otherwise("info")
+
+
+def _enforced(parts: dict[str, Column]) -> Column:
+    low = S.level(parts["level"])
+    attack = F.regexp_extract(parts["message"], r"\[type:([^\]]+)\]", 1).isin(_PING_ATTACKS)
+    return F.when(attack & low.isin("debug", "info"), "warning").otherwise(low)
+
+
 FORMATS: list[Format] = [
+    Format("kubernetes", gate="^", share=2.0, path="/var/log/pods/|k8s", carry="kubernetes"),
     _json("docker", r'^\s*\{"log"\s*:', "log", ts="time", stream="stream"),
     _line("cri", r"^(\d{4}-\d\d-\d\dT\S+) (stdout|stderr) ([FP]) (.*)$", "ts stream partial message", severity=lambda p: F.when(p["stream"] == "stderr", "warning").otherwise(S.usage(p["message"]))),
     _json("journald", _has("MESSAGE", "__REALTIME_TIMESTAMP"), "MESSAGE", "PRIORITY", "__REALTIME_TIMESTAMP", "epoch_us", _SYSLOG_NUMBERS, source="SYSLOG_IDENTIFIER _COMM"),
@@ -88,7 +124,8 @@ FORMATS: list[Format] = [
     _line("cef", r"^(?:" + BSD + r" (\S+) )?CEF:\d+\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$", "ts host source product version id message level extension", time="3164", levels={"10": "critical", "9": "critical", "8": "error", "7": "error", "6": "warning", "5": "warning", "4": "warning", "very-high": "critical", "high": "error", "medium": "warning", "low": "info"}),
     _line("leef", r"^(?:" + BSD + r" (\S+) )?LEEF:[\d.]+\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$", "ts host source product version message extension", time="3164"),
     _line("ciscoasa", r"^(?:<\d+>)?([A-Z][a-z]{2}\s+\d{1,2}(?: \d{4})? \d\d:\d\d:\d\d)?.*?%([A-Z]+)-(\d)-(\d+): (.*)$", "ts source level id message", time="3164", gate=r"%[A-Z]+-\d-\d+: ", levels=_SYSLOG_NUMBERS),
-    _line("snort", r"^(\d\d/\d\d-\d\d:\d\d:\d\d)\.\d+\s+\[\*\*\] \[([\d:]+)\] (.*?) \[\*\*\](?:.*?\[Priority: (\d)\])?.*$", "when sid message level", levels={"1": "error", "2": "warning", "3": "info", "": "warning"}),
+    _line("snort", r"^(\d\d/\d\d-\d\d:\d\d:\d\d\.\d+)\s+\[\*\*\] \[([\d:]+)\] (.*?) \[\*\*\](?:.*?\[Priority: (\d)\])?.*$", "ts sid message level", time="monthday", levels={"1": "error", "2": "warning", "3": "info", "": "warning"}),
+    Format("zeek", gate=r"^(?:#fields.*\t|#separator|#path)", carry="zeek"),
     _line("fortigate", r"^.*?date=(\S+) time=(\S+) .*?level=\"?(\w+)\"?.*?(?:msg=\"([^\"]*)\")?.*$", "date clock level message", gate=r"date=\S+ time=\S+ .*(?:devid|logid)="),
     _syslog("sudo", "sudo", _words((["authentication failure", "incorrect password", "not in sudoers", "not allowed"], "warning"))),
     _syslog("cron", "(?i:cron)d?|CRON|anacron", path="cron"),
@@ -98,6 +135,7 @@ FORMATS: list[Format] = [
     _syslog("samba", "smbd|nmbd|winbindd|samba", path="samba|smbd"),
     _syslog("chrony", "chronyd|ntpd|systemd-timesyncd", path="chrony|ntp"),
     _syslog("vsftpd", "vsftpd", _words((["fail"], "warning"))),
+    _line("ftp", r"^([A-Z][a-z]{2} [A-Z][a-z]{2}\s+\d{1,2} \d\d:\d\d:\d\d \d{4}) (?:\[pid (\d+)\] (?:\[([^\]]+)\] )?((?:OK|FAIL|CONNECT)? ?[A-Z_ ]+: .*)|(\d+ \S+ \d+ \S+ [ab] [_\w] [io] [agr] \S+ \S+ \d+ \S+ ([ci]).*))$", "ts pid user message bare completion", time="ctime", gate=r"\[pid \d+\] (?:OK|FAIL|CONNECT)|^\w{3} \w{3}\s+\d+ \d\d:\d\d:\d\d \d{4} \d+ \S+ \d+ /", path="vsftpd|proftpd|xferlog|ftpd", severity=lambda p: F.when((p["completion"] == "i") | p["message"].startswith("FAIL "), "warning").otherwise("info")),
     _syslog("dnsmasq", "dnsmasq", path="dnsmasq"),
     _syslog("powerdns", "pdns", path="pdns|powerdns"),
     _syslog("slapd", "slapd", path="slapd|openldap"),
@@ -124,6 +162,7 @@ FORMATS: list[Format] = [
     _syslog("syslogng", "syslog-ng"),
     _syslog("rsyslog", "rsyslogd"),
     _line("xorg", r"^\[\s*(\d+\.\d+)\] \((II|WW|EE|NI|\?\?|==|--|\*\*|\+\+|!!)\) (.*)$", "uptime level message", levels={"EE": "error", "WW": "warning", "NI": "warning"}),
+    _line("wpa_supplicant", rf"^(?:{BSD} \S+ wpa_supplicant(?:\[\d+\])?: (?=.*(?:{_WPA_SEEN}))(?:([a-z]+\d+|p2p-dev-\w+): )?(.*)|(?=.*(?:{_WPA_SEEN}))([a-z]+\d+|p2p-dev-\w+): (.*))$", "ts interface message bare_interface bare", time="3164", severity=_wpa),
     _syslog("kernel", "kernel", _words((["out of memory", "oom-kill", "oom_reaper", "kernel panic", "hardware error", "machine check", "i/o error"], "critical"), (_BAD + ["segfault", "call trace"], "error"), (_ODD, "warning")), path="kern|dmesg"),
     _syslog("secure", "sshd|su|login|systemd-logind|pam", lambda p: F.when(p["message"].rlike("(?i)failed password|authentication failure|invalid user|failed publickey"), "warning").when(p["message"].rlike("(?i)accepted|session opened|session closed"), "info").otherwise(S.syslog(p["message"])), path=r"(^|/)(secure|auth\.log)"),
     _json("kubeaudit", _has("kind", "apiVersion", "verb", "auditID"), "requestURI", ts="requestReceivedTimestamp stageTimestamp", http_status="responseStatus.code", method="verb"),
@@ -186,7 +225,11 @@ FORMATS: list[Format] = [
     _line("krb5kdc", rf"^{BSD} (?:(\S+) )?(krb5kdc|kadmind)\[(\d+)\]\((\w+)\): (.*)$", "ts host source pid level message", time="3164"),
     _line("dmesg", r"^\[\s*(\d+\.\d{6})\] (.*)$", "uptime message", severity=_words((["out of memory", "oom-kill", "oom_reaper", "kernel panic", "hardware error", "machine check", "i/o error"], "critical"), (_BAD + ["segfault", "call trace"], "error"), (_ODD, "warning"))),
     _line("mikrotik", rf"^{BSD} (?:(\S+) )?((?:\w+,)+\w+) (.*)$", "ts host topics message", time="3164", share=0.5, severity=lambda p: S.level(F.regexp_extract(p["topics"], r".*\b(critical|error|warning|info|debug)\b", 1))),
-    _line("mysql", rf"^{ISO}\s+(\d+)\s+\[(\w+)\](?: \[[^\]]*\])*\s*(.*)$", "ts thread level message", path="mysql|mariadb", levels={"Note": "info", "System": "info"}),
+    Format("iis", gate=r"^#Fields:(?!.*x-edge-location)(?!.*\t.*\S)(?=.*(?:s-ip|time-taken|sc-status))", carry="iis"),
+    Format("cloudfront", gate=r"^#Fields:.*x-edge-location", carry="cloudfront"),
+    Format("oracle", gate=r"\b(?:ORA|TNS)-\d{4,5}\b", also=r"Starting ORACLE instance|Instance shutdown|ALTER DATABASE", path=r"alert[^/]*$", carry="oracle"),
+    Format("oracle", gate=r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?[+\-Z]", share=2.0, path=r"alert[^/]*$", carry="oracle"),
+    _line("mysql", r"^(\d{4}-\d\d-\d\d[T ]\s*\d{1,2}:\d\d:\d\d(?:\.\d+)?Z?)\s+(\d+)\s+\[(\w+)\](?: \[[^\]]*\])*\s*(.*)$", "ts thread level message", gate=r"\d{4}-\d\d-\d\d[T ]\s*\d{1,2}:\d\d:\d\d.*\[(?:ERROR|Warning|Note|System)\]|# User@Host:|# Query_time:", path="mysql|mariadb", levels={"Note": "info", "System": "info"}, carry="mysql", least=0.1),
     _line("uwsgi", r"^\[pid: (\d+)\|.*?\] (\S+) \(\) \{[^}]*\} \[[^\]]*?([A-Z][a-z]{2}\s+\d{1,2} \d\d:\d\d:\d\d \d{4})\] (.*?\(HTTP/[\d.]+ (\d{3})\).*)$", "pid client ts message http_status", time="ctime", severity=_status),
     _line("rails", r"^(?:\S, \[(\S+) #\d+\]\s+\w+ -- : )?(?:\[\S+\] )?((?:Started [A-Z]+ |Completed )(?:(\d{3}) )?.*)$", "ts message http_status", severity=lambda p: F.when(p["http_status"].isNull() | (p["http_status"] == ""), "info").otherwise(_status(p))),
     _line("exim", rf"^(\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d) ((?:\w{{6}}-\w{{6,11}}-\w{{2,4}}) (<=|=>|->|\*\*|==|Completed)?.*)$", "ts message flag", path="exim|mainlog", severity=lambda p: F.when(p["flag"] == "**", "error").when((p["flag"] == "==") | p["message"].rlike("(?i)reject|error"), "warning").otherwise("info")),
@@ -198,6 +241,10 @@ FORMATS: list[Format] = [
     _line("keycloak", rf"^{ISO} {LEVEL}\s+\[((?:org\.keycloak|org\.jboss|io\.quarkus|org\.infinispan)[^\]]*)\] \(([^)]*)\) (.*)$", "ts level logger thread message"),
     _line("pulsar", rf"^{ISO} \[([^\]]+)\] {LEVEL}\s+(\S+) - (.*)$", "ts thread level logger message", gate=rf"^\d{{4}}-\d\d-\d\dT\S+,\d+[+-]\d{{4}} \[[^\]]+\] {LEVEL} "),
     _line("cassandra", rf"^{LEVEL}\s+\[([^\]]+)\] {ISO} (\w+\.java):(\d+) - (.*)$", "level thread ts file line message"),
+    _line("pingfederate", rf"^(\d{{4}}-\d\d-\d\d \d{{1,2}}:\d\d:\d\d,\d{{3}}) (?:tid:(\S+) {LEVEL}\s+\[([^\]]*)\]\s*(.*)|\| (?!(?i:trace|debug|info|warn|warning|error|fatal)\s*\|)([^|]*\|[^|]*\|[^|]*\|[^|]*\|.*))$", "ts tid level logger message bare", severity=_audit),
+    _line("pingaccess", rf"^(\d{{4}}-\d\d-\d\d[T ]\d\d:\d\d:\d\d[,.]\d{{3}})(?:\s+{LEVEL}\s+\[([^\]]*)\]\s+([\w.$]*(?:pingidentity|(?i:pingaccess))[\w.$]*):(\d+)\s+-\s+(.*)|\s*\|\s*(.*\d+\s*ms\s*\|.*))$", "ts level exchange_id logger lineno message bare", severity=_answered),
+    Format("pingdirectory", r"^\[(\d\d/[A-Za-z]{3}/\d{4}:\d\d:\d\d:\d\d\.\d{3} [-+]\d{4})\]\s+(?:category=(\S+)\s+severity=(\S+)\s+msgID=(\S+)\s+(.*)|((?:CONNECT|DISCONNECT|ABANDON|(?:BIND|UNBIND|SEARCH|ADD|MODIFY|MODIFY DN|MODIFYDN|DELETE|COMPARE|EXTENDED)(?: REQUEST| RESULT| FORWARD| ENTRY| REFERENCE)?)\b)(.*))$", ("ts", "category", "level", "msgID", "rest", "operation", "more"), levels=_PING_LEVELS, carry="pingdirectory"),
+    _line("pingintelligence", r"^\[([A-Za-z]{3} [A-Za-z]{3} +\d{1,2} \d\d:\d\d:\d\d:\d{3} \d{4})\] \[thread:(\d+)\] \[(fatal|error|warning|warn|info|debug)\]\s*(.*)$", "ts thread level message", time="ctime", severity=_enforced),
     _line("activemq", rf"^{ISO} \| {LEVEL}\s*\| (.*?) \| (\S+) \| (.*)$", "ts level message logger thread"),
     _line("clickhouse", r"^(\d{4}\.\d\d\.\d\d \d\d:\d\d:\d\d(?:\.\d+)?) \[ (\d+) \] \{([^}]*)\} <(\w+)> (.*)$", "ts thread query level message", time="dotted"),
     _line("mssql", rf"^(\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d\.\d\d) (\w+)\s{{2,}}(.*)$", "ts source message", severity=lambda p: F.when(F.regexp_extract(p["message"], r"Severity: (\d+)", 1).try_cast("int") >= 17, "critical").when(F.regexp_extract(p["message"], r"Severity: (\d+)", 1).try_cast("int") >= 11, "error").otherwise(_KEYWORDS(p))),
@@ -214,17 +261,17 @@ FORMATS: list[Format] = [
     _line("jetty", rf"^{ISO}:{LEVEL}:([\w.$]+):([^:]*): (.*)$", "ts level logger thread message", gate=rf"^{ISO}:{LEVEL}:(?:\w+\.)*(?:jetty|oej\w*|eclipse)[\w.$]*:"),
     _line("rspamd", rf"^{ISO} #(\d+)\((\w+)\) (?:<(\w*)>; )?(\w+); (.*)$", "ts pid worker id module message", severity=_KEYWORDS),
     _line("cockroachdb", r"^([IWEF])(\d{6} \d\d:\d\d:\d\d)\.\d+ (\d+) (\S+:\d+)\s+(?:⋮ )?(?:\[([^\]]*)\]\s+)?(.*)$", "level ts goroutine where tags message", time="compact", levels=_GO),
-    _line("klog", r"^([IWEF])(\d{4} \d\d:\d\d:\d\d)\.\d+\s+(\d+) (\S+:\d+)\] (.*)$", "level when thread where message", levels=_GO, share=0.5),
+    _line("klog", r"^([IWEF])(\d{4} \d\d:\d\d:\d\d\.\d+)\s+(\d+) (\S+:\d+)\] (.*)$", "level ts thread caller message", time="klog", levels=_GO, share=0.5),
     _line("logrus", r'^time="([^"]*)" level=(\w+) msg="?((?:[^"\\]|\\.)*?)"?(?: .*)?$', "ts level message"),
     _line("envoy", rf"^\[{ISO}\]\[(\d+)\]\[(\w+)\]\[(\w+)\] (.*)$", "ts thread level source message", path="envoy|istio"),
     _line("cloudinit", rf"^{ISO} - (\S+?)\[{LEVEL}\]: (.*)$", "ts logger level message", path="cloud-init"),
     _line("telegraf", rf"^{ISO} ([DIWE])! \[([^\]]+)\] (.*)$", "ts level source message", levels=_GO, gate=r"[DIWE]! \[(?:inputs|outputs|agent|telegraf|processors|aggregators)(?!\.cloudwatch)"),
     _line("cloudwatch", rf"^(\d{{4}}[-/]\d\d[-/]\d\d[T ]\S+) ([DIWE])! (.*)$", "ts level message", levels=_GO),
     _line("jenkins", rf"^{ISO} \[id=(\d+)\]\s+(SEVERE|WARNING|INFO|CONFIG|FINE|FINER|FINEST)\s+(\S+?):? (.*)$", "ts id level logger message", levels=_JUL),
-    _line("springboot", rf"^{ISO}\s+{LEVEL} (\d+) --- (?:\[[^\]]*\] )?\[([^\]]*)\] (\S+)\s*: (.*)$", "ts level pid thread source message"),
+    _line("springboot", rf"^{ISO}\s+{LEVEL} (\d+) --- (?:\[[^\]]*\] )?\[([^\]]*)\] (\S+)\s*: (.*)$", "ts level pid thread source message", fold=True),
     _line("pgbouncer", rf"^{ISO[:-1]} [A-Z]{{3,4}}) \[(\d+)\] (LOG|WARNING|ERROR|FATAL|DEBUG|NOISE) (.*)$", "ts pid level message", levels=_POSTGRES),
     _line("postgresql", rf"^{ISO[:-1]} [A-Z]{{3,4}}) \[(\d+)\](?: (\S+@\S+))? ?(LOG|WARNING|ERROR|FATAL|PANIC|DETAIL|HINT|STATEMENT|CONTEXT|NOTICE|INFO|DEBUG\d?):\s+(.*)$", "ts pid user level message", levels=_POSTGRES, path="postgres"),
-    _line("redis", r"^(\d+):([XCSM]) (\d{1,2} [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d)\.\d+ ([.*#-]) (.*)$", "pid role when level message", levels={".": "debug", "-": "info", "*": "info", "#": "warning"}),
+    _line("redis", r"^(?:(\d+):([XCSM])|\[(\d+)\]) (\d{1,2} [A-Z][a-z]{2} (?:\d{4} )?\d\d:\d\d:\d\d\.\d+) ([.*#-]) (.*)$", "pid role pid_old ts symbol message", time="day_month", path="redis", severity=_redis),
     _syslog("postfix", "postfix", lambda p: F.when(p["message"].rlike("(?i)fatal|panic|error:"), "error").when(p["message"].rlike("(?i)authentication failed|reject|status=(?!sent)"), "warning").otherwise("info"), path="mail"),
     _line("logfmt", r'^(?=.*\blevel="?(\w+))(?=.*\bmsg=(?:"((?:[^"\\]|\\.)*)"|(\S+)))(?=.*\b(?:ts|time|timestamp)="?([^"\s]+)).*$', "level message bare ts", share=0.5),
     _line("githubactions", r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{7}Z) (?:##\[(\w+)\])?(.*)$", "ts level message", share=0.5),
@@ -245,8 +292,8 @@ FORMATS: list[Format] = [
     _line("lighttpd", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d): \(([\w.-]+\.c\.\d+)\) (.*)$", "ts where message", severity=_KEYWORDS),
     _line("zabbix", r"^\s*(\d+):(\d{8}:\d{6})\.\d+ (.*)$", "pid ts message", time="colon", severity=_KEYWORDS),
     _line("clamav", rf"^{CTIME} -> (.*)$", "ts message", time="ctime", severity=_words((["found"], "critical"), (["error"], "error"), (["outdated", "warning"], "warning"))),
-    _line("pylogging", rf"^{ISO} - ([\w.]+) - {LEVEL} - (.*)$", "ts source level message", share=0.5),
-    _line("log4j", rf"^{ISO} \[([^\]]+)\] {LEVEL}\s+([\w.$]+)\s+- (.*)$", "ts thread level source message", share=0.5),
+    _line("pylogging", rf"^{ISO} - ([\w.]+) - {LEVEL} - (.*)$", "ts source level message", share=0.5, fold=True),
+    _line("log4j", rf"^{ISO} \[([^\]]+)\] {LEVEL}\s+([\w.$]+)\s+- (.*)$", "ts thread level source message", share=0.5, fold=True),
     _line("mosquitto", r"^(\d{9,10}): (.*(?:mosquitto|client|Client|connection|listen).*)$", "ts message", time="epoch", severity=_words((["error"], "error"), (["disconnect", "refused"], "warning"))),
     _line("maven", r"^\[(INFO|WARNING|ERROR|DEBUG)\] (.*)$", "level message", share=0.5),
     _line("npm", r"^npm (ERR!|error|WARN|warn|notice|info|http|verb|silly)\s+(.*)$", "level message", levels={"err!": "error", "verb": "debug", "silly": "debug"}),
@@ -266,6 +313,6 @@ FORMATS: list[Format] = [
     _line("generic", rf"^(?=\S|\s+\S)(?:.*?{ISO})?.*$", "ts", gate=r"^", severity=lambda p: S.usage(p["message"])),
 ]
 
-ALIASES = {"nginx": "nginx-access", "apache": "apache-access", "httpd": "apache-access", "k8s": "cri", "auth": "secure", "sshd": "secure", "postgres": "postgresql", "mongo": "mongodb", "elastic": "elasticsearch", "messages": "syslog", "dmesg": "kernel", "mail": "postfix"}
+ALIASES = {"nginx": "nginx-access", "apache": "apache-access", "httpd": "apache-access", "k8s": "kubernetes", "ssh": "secure", "dnf": "yum", "journal": "journald", "pingdirectoryproxy": "pingdirectory", "pingdatasync": "pingdirectory", "pingdatametrics": "pingdirectory", "pingdatagovernance": "pingauthorize", "auth": "secure", "sshd": "secure", "postgres": "postgresql", "mongo": "mongodb", "elastic": "elasticsearch", "messages": "syslog", "dmesg": "kernel", "mail": "postfix"}
 
-BY_NAME = {f.name: f for f in FORMATS}
+BY_NAME = {f.name: f for f in reversed(FORMATS)}

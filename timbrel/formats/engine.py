@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.formats.catalog import ALIASES, BY_NAME, FORMATS
-from timbrel.formats.spec import Format, by_level, stamp
+from timbrel.formats.columns import EVENT, cells, event
+from timbrel.formats.spec import Format
+from timbrel.formats.stateful import READERS, TRACEBACK, folded
 
 SAMPLE_LINES = 20
 SAMPLE_CHARS = 8192
-MIN_COVERAGE = 0.6
-
-EVENT = ["log_path", "line_number", "ts", "severity", "source", "message", "raw", "extra", "http_status", "connect_port", "result_code", "method", "action", "is_squid"]
 
 _SYSLOG = r"^(?:<\d+>)?[A-Z][a-z]{2}\s+\d{1,2} \d\d:\d\d:\d\d \S+ [\w./()-]+(?:\[\d+\])?: "
 
@@ -43,75 +42,29 @@ def detect(lines: DataFrame) -> DataFrame:
     """(log_path, format) of each log, from its first lines: at most SAMPLE_LINES rows of hits are gathered for a log, and
     the first format whose hits suffice is its format."""
     sample = lines.filter((F.col("line_number") <= SAMPLE_LINES) & (F.trim("raw") != "")).select("log_path", F.substring("raw", 1, SAMPLE_CHARS).alias("_line"))
-    hits = F.array(F.col("_line").rlike(_SYSLOG), *[_gate(f) for f in FORMATS])
+    also = [f for f in FORMATS if f.also]
+    line = F.col("_line")
+    hits = F.array(line.rlike(_SYSLOG), line.rlike(TRACEBACK), *[_gate(f) for f in FORMATS], *[line.rlike(f.also) for f in also])
     rows = sample.select("log_path", F.transform(hits, lambda h: F.coalesce(h.cast("int"), F.lit(0))).alias("hits"))
     rows = rows.groupBy("log_path").agg(F.collect_list("hits").alias("hits"))
-    zeros = F.array_repeat(F.lit(0), len(FORMATS) + 1)
+    zeros = F.array_repeat(F.lit(0), 2 + len(FORMATS) + len(also))
     rows = rows.select("log_path", F.size("hits").alias("all"), F.aggregate("hits", zeros, _sum).alias("n"))
-    known = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.share).alias("share"), F.lit(bool(f.tag)).alias("tag"), F.lit(f.path).alias("path")) for f in FORMATS])
+    known = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.share).alias("share"), F.lit(bool(f.tag)).alias("tag"), F.lit(f.path).alias("path"), F.lit(f.fold).alias("fold"), F.lit(2 + len(FORMATS) + also.index(f) if f.also else -1).alias("also")) for f in FORMATS])
     whole = F.col("log_path").rlike(r"(^|/)(messages|syslog)[^/]*$")
 
     def fits(f: Column, i: Column) -> Column:
-        n = F.get("n", i + 1)
+        n = F.get("n", i + 2)
         # Half of the syslog lines, and not a log that holds all programs' lines.
         tagged = (n > 0) & (2 * n >= F.get("n", F.lit(0))) & ~whole
+        # Continuation lines don't count where they belong to the event before.
+        lines = F.col("all") - F.when(f["fold"], F.get("n", F.lit(1))).otherwise(0)
+        enough = (n >= F.greatest(F.lit(1.0), f["share"] * lines)) & ((f["also"] < 0) | (F.get("n", f["also"]) > 0))
         named = (f["path"] != "") & (n > 0) & F.rlike(F.col("log_path"), F.concat(F.lit("(?i)"), f["path"]))
-        return named | F.when(f["tag"], tagged).otherwise(n >= F.greatest(F.lit(1.0), f["share"] * F.col("all")))
+        return named | F.when(f["tag"], tagged).otherwise(enough)
 
     return rows.select("log_path", F.coalesce(F.get(F.filter(known, fits), F.lit(0))["name"], F.lit("generic")).alias("format"))
 
 
-#: Between the parts of a line and before the first; noncharacters, which texts don't hold.
-_PART, _FIT = "\ufdd0", "\ufdd1"
-
-
-def _cells(fmt: Format) -> Column:
-    """The parts of a line in one format, in order, or null where it doesn't fit. The pattern runs once."""
-    raw = F.col("raw")
-    if fmt.json:
-        value = F.try_parse_json("raw")
-        path = lambda p: "$" + "".join(f"['{k}']" for k in p.split("."))
-        dotted = lambda p: f"$['{p}']"
-        get = lambda v, p: F.coalesce(F.try_variant_get(v, dotted(p), "string"), F.try_variant_get(v, path(p), "string"))
-        parts = lambda v: F.when(v.isNotNull(), F.array(*[F.coalesce(*[get(v, p) for p in paths]) for paths in fmt.json.values()]))
-        return F.when(raw.rlike(fmt.gate), F.transform(F.array(value), parts)[0])
-    marked = F.regexp_replace(raw, f"(?:{fmt.pattern})" + r"[\s\S]*", _FIT + _PART.join(f"${i}" for i in range(1, len(fmt.parts) + 1)))
-    quick = F.transform(F.array(marked), lambda m: F.when(m.startswith(_FIT), F.split(F.substr(m, F.lit(2)), _PART)))[0]
-    slow = F.when(raw.rlike(fmt.pattern), F.array(*[F.regexp_extract(raw, fmt.pattern, i) for i in range(1, len(fmt.parts) + 1)]))
-    return F.when(raw.contains(_PART) | raw.startswith(_FIT), slow).otherwise(quick)
-
-
-def _event(fmt: Format, year: int) -> Column:
-    """An event as a struct, from the column ``_cells``."""
-    parts = list(fmt.json or fmt.parts)
-    got = {k: F.nullif(F.get("_cells", F.lit(i)), F.lit("")) for i, k in enumerate(parts)}
-    none = F.lit(None).cast("string")
-    if "message" not in got:
-        got["message"] = F.col("raw")
-    if "bare" in got:
-        got["message"] = F.coalesce(got["message"], got["bare"])
-    when = stamp(fmt.time, got["ts"], year) if "ts" in got else F.lit(None).cast("timestamp_ntz")
-    if "bsd" in got:
-        when = F.coalesce(stamp("3164", got["bsd"], year), when)
-    if "date" in got and "clock" in got:
-        when = stamp("iso", F.concat_ws(" ", got["date"], got["clock"]), year)
-    severity = fmt.severity(got) if fmt.severity else by_level(got, fmt)
-    if fmt.json and not fmt.severity:
-        status = got.get("http_status")
-        if status is not None and "level" not in got:
-            severity = F.when(status.try_cast("int") >= 500, "error").when(status.try_cast("int") >= 400, "warning").otherwise("info")
-        if "error" in got:
-            severity = F.when(got["error"].isNotNull() & (severity == "info"), "warning").otherwise(severity)
-    squid = fmt.name == "squid"
-    fields = [k for k in parts if k not in ("ts", "message", "level", "source", "bsd", "bare")]
-    extra = F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*[got[k] for k in fields])) if fields else F.create_map().cast("map<string,string>")
-    port = F.when(F.upper(got["method"]) == "CONNECT", F.regexp_extract(got["message"], r":(\d+)$", 1).try_cast("int")) if squid else F.lit(None).cast("int")
-    get = lambda k: got.get(k, none)
-    source = F.coalesce(get("source"), F.lit("filterlog" if fmt.name == "pfsense" else fmt.name))
-    columns = [when.alias("ts"), severity.alias("severity"), source.alias("source"), F.coalesce(got["message"], F.lit("")).alias("message"), F.map_filter(extra, lambda k, v: v.isNotNull()).alias("extra"), get("http_status").try_cast("int").alias("http_status"), port.alias("connect_port"), get("result_code").alias("result_code"), get("method").alias("method"), get("action").alias("action"), F.lit(squid).alias("is_squid")]
-    return F.struct(*columns)
-
-
 #: Formats that one pass over the lines reads; their expressions are one plan.
 TOGETHER = 16
 
@@ -126,36 +79,53 @@ def _choice(formats: list[Format], make) -> Column:
 
 
 def _read(lines: DataFrame, formats: list[Format], year: int) -> DataFrame:
-    """Events of ``lines`` (with ``format``, if there are several); lines that don't fit are left out."""
-    cells = F.filter(F.array(_choice(formats, _cells)), lambda c: c.isNotNull())
-    # The generator keeps the optimizer from running a pattern once for the filter and once for the parts.
-    rows = lines.filter(F.trim("raw") != "").select("*", F.explode(cells).alias("_cells"))
-    rows = rows.select("log_path", "line_number", "raw", _choice(formats, lambda f: _event(f, year)).alias("_event"))
-    return rows.select("log_path", "line_number", "raw", "_event.*").select(EVENT)
+    """Events of ``lines`` (with ``format``, if there are several), and ``meta``: lines that belong to a format's structure
+    and are no events. Lines that are neither are left out."""
+    if formats[0].carry:
+        rows, made, meta = READERS[formats[0].carry](lines.filter(F.trim("raw") != ""), formats[0], year)
+        rows = rows.select("log_path", "line_number", "raw", made.alias("_event"), meta.alias("meta")).filter("meta OR _event IS NOT NULL")
+    else:
+        found = F.filter(F.array(_choice(formats, cells)), lambda c: c.isNotNull())
+        # The generator keeps the optimizer from running a pattern once for the filter and once for the parts.
+        rows = lines.filter(F.trim("raw") != "").select("*", F.explode(found).alias("_cells"))
+        rows = rows.select("log_path", "line_number", "raw", _choice(formats, lambda f: event(f, year)).alias("_event"), F.lit(False).alias("meta"))
+    events = rows.select("log_path", "line_number", "raw", "_event.*", "meta").select(*EVENT, "meta")
+    return folded(lines, events, formats[0]) if formats[0].fold else events
 
 
 def parse(lines: DataFrame, fmt: Format | str, year: int = 2024) -> DataFrame:
     """Events of ``lines`` in one format; lines that don't fit are left out. ``year`` is that of stamps without one."""
-    return _read(lines, [named(fmt) if isinstance(fmt, str) else fmt], year)
+    return _read(lines, [named(fmt) if isinstance(fmt, str) else fmt], year).filter("NOT meta").drop("meta")
 
 
 def _groups(lines: DataFrame, formats: DataFrame) -> Iterator[tuple[DataFrame, list[Format]]]:
-    """The lines with their log's format, for TOGETHER formats at a time."""
-    names = sorted(r["format"] for r in formats.select("format").distinct().collect()) or ["generic"]
+    """The lines with their log's format: for TOGETHER plain formats at a time, and each format that carries state alone."""
+    found = [named(r["format"]) for r in formats.select("format").distinct().orderBy("format").collect()] or [named("generic")]
+    plain = [f for f in found if not f.carry and not f.fold]
     known = formats.select(F.col("log_path").alias("_log"), "format")
-    for at in range(0, len(names), TOGETHER):
-        some = names[at : at + TOGETHER]
-        yield lines.join(known.filter(F.col("format").isin(some)), F.col("log_path") == F.col("_log")).drop("_log"), [named(n) for n in some]
+    for some in [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)] + [[f] for f in found if f not in plain]:
+        names = [n for f in some for n in (f.name, *[a for a, x in ALIASES.items() if x == f.name])]
+        yield lines.join(known.filter(F.col("format").isin(names)), F.col("log_path") == F.col("_log")).drop("_log"), some
+
+
+def read_all(lines: DataFrame, formats: DataFrame, year: int = 2024) -> DataFrame:
+    """Events and ``meta`` lines of logs with known formats (log_path, format)."""
+    return reduce(DataFrame.unionByName, [_read(rows, some, year) for rows, some in _groups(lines, formats)])
 
 
 def parse_all(lines: DataFrame, formats: DataFrame, year: int = 2024) -> DataFrame:
     """Events of logs with known formats (log_path, format), in one pass over the lines for each TOGETHER formats."""
-    return reduce(DataFrame.unionByName, [_read(rows, some, year) for rows, some in _groups(lines, formats)])
+    return read_all(lines, formats, year).filter("NOT meta").drop("meta")
 
 
 def covered(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """The formats, with ``generic`` for logs of which too few lines are events; all lines with text are generic events."""
-    fits = [rows.filter(F.trim("raw") != "").select("log_path", "format", _choice(some, _cells).isNotNull().alias("fits")) for rows, some in _groups(lines, formats)]
-    counts = reduce(DataFrame.unionByName, fits).groupBy("log_path", "format").agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("events"))
-    few = counts.filter(F.col("events") < MIN_COVERAGE * F.col("n")).select(F.col("log_path").alias("_log"))
-    return formats.join(few, F.col("log_path") == F.col("_log"), "left").select("log_path", F.when(F.col("_log").isNotNull(), "generic").otherwise(F.col("format")).alias("format"))
+    """The formats, with ``generic`` for logs of which too few lines are events or structure; all lines with text are
+    generic events."""
+    text = lines.filter(F.trim("raw") != "").groupBy("log_path").agg(F.count(F.lit(1)).alias("n"))
+    counts = read_all(lines, formats).groupBy("log_path").agg(F.count(F.lit(1)).alias("events")).withColumnRenamed("log_path", "_log")
+    least = F.lit(named("generic").least)
+    for f in FORMATS:
+        if f.least != named("generic").least:
+            least = F.when(F.col("format") == f.name, f.least).otherwise(least)
+    joined = formats.join(text, "log_path", "left").join(counts, F.col("log_path") == F.col("_log"), "left")
+    return joined.select("log_path", F.when(F.coalesce("events", F.lit(0)) < least * F.col("n"), "generic").otherwise(F.col("format")).alias("format"))

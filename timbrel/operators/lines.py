@@ -18,8 +18,14 @@ def duration(text: str) -> timedelta:
 
 
 def last(events: DataFrame, now: datetime, span: str) -> DataFrame:
-    """Events of the last span before ``now``; those without a time stay."""
-    return events.filter(F.col("ts").isNull() | (F.col("ts") >= F.lit(now - duration(span)).cast("timestamp_ntz")))
+    """Events of the last span before ``now`` (UTC); those without a time stay. A time with a known offset from UTC is
+    compared as such, others are UTC."""
+    ts = F.col("ts")
+    if "extra" in events.columns:
+        offset = F.try_element_at("extra", F.lit("utc_offset"))
+        minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.regexp_extract(offset, r"(\d\d)$", 1).try_cast("int")
+        ts = ts - F.make_dt_interval(mins=F.coalesce(F.when(offset.startswith("-"), -minutes).otherwise(minutes), F.lit(0)))
+    return events.filter(F.col("ts").isNull() | (ts >= F.lit(now - duration(span)).cast("timestamp_ntz")))
 
 
 def fold(lines: DataFrame, is_event: Column, is_continuation: Column, most: int = 20) -> DataFrame:
