@@ -8,10 +8,10 @@ given out; a set with more than ``slack`` parts that have one also takes part in
 deal suits it. Two similar sets that both need the further deal meet there; otherwise the earlier deal shows a shared
 signature with elements. So no link is lost and no signature is common by emptiness.
 
-However many documents share a signature, a task sends it once for each load of documents, with the least of them, and the
-others as its partners in that load. Where the signature's loads meet, the least document of all is the centre of a star;
-its members are the other loads' least ones, and all their partners. A star of bounded size is compared in one task, all
-members with each other, and components are formed.
+However many documents share a signature, a task sends it once for each load of documents, with its holder or the number of
+the set of its holders. Where a signature's loads meet, the least holder of all is the centre of a star; its members are
+all other holders, and a set's members are looked up in its load's table. A star of bounded size is compared in one task,
+all members with each other, and components are formed.
 
 In a larger star all members are compared with the centre first. What is still apart needs proof: for sets x and y that
 were compared with the same first set a, the Hamming distance of x and y is that of their differences from a (first stars
@@ -39,6 +39,7 @@ from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,56 +157,70 @@ def _digest(k: int):
     return trimmed(run)
 
 
-def _pack(names: np.ndarray, place: np.ndarray, nodes: np.ndarray) -> bytes:
-    """Ascending signatures with the places of their nodes; numbers are stored as differences, byte by byte, compressed."""
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed."""
     import zstandard
 
-    used, place = np.unique(place, return_inverse=True)
-    cells = [np.diff(names, prepend=np.uint64(0)), np.diff(nodes[used], prepend=0), place.astype("<u2")]
-    planes = [x.astype(f"<{x.dtype.kind}{x.dtype.itemsize}").view(np.uint8).reshape(len(x), -1).T.tobytes() for x in cells]
-    return struct.pack("<II", len(names), len(used)) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    raw = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays]
+    return struct.pack(f"<{len(arrays)}I", *map(len, arrays)) + zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
     import zstandard
 
-    n, m = struct.unpack_from("<II", blob)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=10 * n + 8 * m), np.uint8)
-    part = lambda at, count, size, kind: np.ascontiguousarray(raw[at : at + count * size].reshape(size, count).T).view(kind)[:, 0]
-    names, ids, place = part(0, n, 8, "<u8"), part(8 * n, m, 8, "<i8"), part(8 * n + 8 * m, n, 2, "<u2")
-    return np.cumsum(names, dtype=np.uint64), np.cumsum(ids)[place]
+    sizes = struct.unpack_from(f"<{len(kinds)}I", blob)
+    width = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 * len(kinds) :], max_output_size=max(1, sum(n * w for n, w in zip(sizes, width, strict=True)))), np.uint8)
+    out, at = [], 0
+    for n, w, kind in zip(sizes, width, kinds, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(kind).reshape(n))
+        at += n * w
+    return out
+
+
+_BLOBS = "bucket int, load bigint, kind int, blob binary"
 
 
-def _rows(buckets, kinds, blobs) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+def _sent(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.record_batch([pa.array([x[j] for x in rows], kind) for j, kind in enumerate(kinds)], names=["bucket", "load", "kind", "blob"])
 
 
 def _sign(k: int, num: int, den: int, buckets: int):
-    """Rows (bucket, kind, blob): of each signature in a load of documents its least node (kind 0, by ranges of signatures),
-    and the other nodes beside that one (kind 1, pairs). However common a signature is, a load sends it once."""
+    """Rows (bucket, load, kind, blob). A load is some documents of a task. Kind 1, by ranges of signatures: each signature of
+    the load once, with its only holder, or the number of the set of its holders and the least of them. Kind 0: the sets
+    of holders of the load."""
     cut = np.array([(i << NAME_BITS) // buckets for i in range(1, buckets)], np.uint64)
 
-    def load(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def load(number: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         ids, place = np.unique(np.concatenate([x for _, x in held]), return_inverse=True)
-        # A signature and its node's place, in one number.
+        # A signature and its holder's place, in one number.
         both = np.sort(np.concatenate([x for x, _ in held]) << np.uint64(PLACE_BITS) | place.astype(np.uint64))
-        names, place = both >> np.uint64(PLACE_BITS), (both & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        first = np.ones(len(names), bool)
-        first[1:] = names[1:] != names[:-1]
-        least = place[first][np.cumsum(first) - 1]
-        other = place != least
-        pairs = np.unique(least[other] << PLACE_BITS | place[other])
-        names, place = names[first], place[first]
+        both = both[np.append(True, both[1:] != both[:-1])]
+        names, place = both >> np.uint64(PLACE_BITS), (both & np.uint64((1 << PLACE_BITS) - 1)).astype("<u2")
+        start = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        end = np.append(start[1:], len(names))
+        known: dict[bytes, int] = {}
+        holder = place[start].astype("<u4")
+        for i in np.flatnonzero(end - start > 1).tolist():
+            holder[i] = len(ids) + known.setdefault(place[start[i] : end[i]].tobytes(), len(known))
+        sets = [np.frombuffer(x, "<u2") for x in known]
+        least = np.concatenate([ids, ids[np.array([x[0] for x in sets], np.int64)]])
+        number_of = np.concatenate([np.full(len(ids), -1), np.arange(len(sets))]).astype("<i4")
+        names = names[start]
         cuts = [0, *np.searchsorted(names, cut).tolist(), len(names)]
-        found = [(i, _pack(names[a:b], place[a:b], ids)) for i, (a, b) in enumerate(pairwise(cuts)) if b > a]
-        yield _rows([i for i, _ in found], [0] * len(found), [x for _, x in found])
-        if len(pairs):
-            near = np.stack([ids[pairs >> PLACE_BITS], ids[pairs & ((1 << PLACE_BITS) - 1)]], axis=1)
-            yield _rows([int(near[0, 0]) % buckets], [1], [near.astype("<i8").tobytes()])
+        rows = []
+        for i, (a, b) in enumerate(pairwise(cuts)):
+            if b > a:
+                used, short = np.unique(holder[a:b], return_inverse=True)
+                rows.append((i, number, 1, _planes(np.diff(names[a:b], prepend=np.uint64(0)).astype("<u8"), short.astype("<u4"), least[used].astype("<i8"), number_of[used])))
+        if sets:
+            rows.append((number % buckets, number, 0, _planes(np.array([len(x) for x in sets], "<u4"), np.concatenate(sets), ids.astype("<i8"))))
+        return _sent(rows)
 
     def run(batches):
         seen: set[bytes] = set()
-        held, size, documents = [], 0, 0
+        held, size, count, number = [], 0, 0, TaskContext.get().partitionId() << 24
         for part, h, at in _sets(batches, k):
             new = np.zeros(part.num_rows, bool)
             digests = np.stack(_digests(h, at), axis=1)
@@ -222,49 +237,87 @@ def _sign(k: int, num: int, den: int, buckets: int):
             names, rows = signatures(h[kept], ends, num, den)
             if not len(names):
                 continue
-            if documents + part.num_rows >= 1 << PLACE_BITS:
-                yield from load(held)
-                held, size, documents = [], 0, 0
+            if held and (size >= LOAD or count + part.num_rows >= 1 << PLACE_BITS):
+                yield load(number, held)
+                held, size, count, number = [], 0, 0, number + 1
             held.append((names >> np.uint64(64 - NAME_BITS), part.column("doc_id").to_numpy()[rows]))
-            size, documents = size + len(names), documents + part.num_rows
-            if size >= LOAD:
-                yield from load(held)
-                held, size, documents = [], 0, 0
+            size, count = size + len(names), count + part.num_rows
         if held:
-            yield from load(held)
+            yield load(number, held)
 
     return trimmed(run)
 
 
+_MET = "a bigint, b bigint, load bigint, kind int, blob binary"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs (a, b, local) of each bucket: a signature's least node and every other one that sent it; and the pairs
-    of kind 1."""
+    """From the rows of a bucket: pairs (a, b) of a signature's least holder and another one (kind 2); for each load the
+    pairs of a least holder and a set of holders (kind 1). Sets of holders go on as they are (kind 0)."""
     now, held = None, []
 
-    def out(a, b, local):
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), local))], names=["a", "b", "local"])
+    def out(a, b, loads, kinds, blobs):
+        values = ((a, pa.int64()), (b, pa.int64()), (loads, pa.int64()), (kinds, pa.int32()), (blobs, pa.binary()))
+        return pa.record_batch([pa.array(x, kind) if x is not None else pa.nulls(len(kinds), kind) for x, kind in values], names=["a", "b", "load", "kind", "blob"])
 
     def met():
-        names, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, least, sets, loads = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(names, kind="stable")  # merges the sorted runs
-        names, nodes = names[order], nodes[order]
-        first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-        least = np.repeat(np.minimum.reduceat(nodes, first), np.diff(np.append(first, len(names))))
-        other = nodes != least
-        return out(*np.unique(np.stack([least[other], nodes[other]], axis=1), axis=0).T, False)
+        names, least, sets, loads = names[order], least[order], sets[order], loads[order]
+        start = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        first = np.repeat(np.minimum.reduceat(least, start), np.diff(np.append(start, len(names))))
+        alone = (sets < 0) & (least != first)
+        pairs = np.unique(np.stack([first[alone], least[alone]], axis=1), axis=0)
+        yield out(pairs[:, 0], pairs[:, 1], None, np.full(len(pairs), 2), None)
+        many = sets >= 0
+        found = np.unique(np.stack([loads[many], first[many], sets[many]], axis=1), axis=0)
+        cut = np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0])) if len(found) else []
+        blobs = [x[:, 1:].astype("<i8").tobytes() for x in np.split(found, cut[1:])] if len(found) else []
+        if blobs:
+            yield out(None, None, found[cut, 0], np.ones(len(blobs), np.int32), blobs)
 
     for batch in batches:
-        for bucket, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-            if kind:
-                yield out(*np.frombuffer(blob.as_py(), "<i8").reshape(-1, 2).T, True)
+        for bucket, load, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "load", "kind", "blob")), strict=True):
+            if kind == 0:
+                yield out(None, None, [load], [0], [blob])
                 continue
             if bucket != now and held:
-                yield met()
+                yield from met()
                 held.clear()
             now = bucket
-            held.append(_unpack(blob.as_py()))
+            names, place, least, sets = _arrays(blob, "<u8", "<u4", "<i8", "<i4")
+            held.append((np.cumsum(names, dtype=np.uint64), least[place], sets[place].astype(np.int64), np.full(len(names), load)))
+    if held:
+        yield from met()
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs (a, b) of each load: a least holder and the members of its sets of holders."""
+    now, sets, held = None, None, []
+
+    def pairs():
+        many, place, ids = sets
+        at = np.append(0, np.cumsum(many, dtype=np.int64))
+        found = np.concatenate(held)
+        size = many[found[:, 1]].astype(np.int64)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        b = ids[place[np.repeat(at[found[:, 1]], size) + inside]]
+        near = np.unique(np.stack([np.repeat(found[:, 0], size), b], axis=1), axis=0)
+        near = near[near[:, 0] != near[:, 1]]
+        return pa.record_batch([pa.array(near[:, 0]), pa.array(near[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        for load, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("load", "kind", "blob")), strict=True):
+            if load != now and held:
+                yield pairs()
+            if load != now:
+                now, held = load, []
+            if kind == 0:
+                sets = _arrays(blob, "<u4", "<u2", "<i8")
+            else:
+                held.append(np.frombuffer(blob, "<i8").reshape(-1, 2))
     if held:
-        yield met()
+        yield pairs()
 
 
 def _compare(k: int, num: int, den: int):
@@ -565,20 +618,16 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     # A document of n shingles has about 1.5 * (den - num) / den * n * 3 signatures; a bucket has some half a million.
     shingles = member.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + shingles * 9 * (den - num) // (2 * den * NAMES)
-    signed = known.mapInArrow(_sign(k, num, den, buckets), "bucket int, kind int, blob binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
-    met = materialize(signed.mapInArrow(trimmed(_meet), "a bigint, b bigint, local boolean"), "met")
+    signed = known.mapInArrow(_sign(k, num, den, buckets), _BLOBS).repartition("bucket").sortWithinPartitions("bucket", "load")
+    met = materialize(signed.mapInArrow(trimmed(_meet), _MET), "met")
     drop_shuffles(spark)
+    near = met.filter("kind < 2").select("load", "kind", "blob").repartition("load").sortWithinPartitions("load", "kind")
+    named = met.filter("kind = 2").select("a", "b").unionByName(near.mapInArrow(trimmed(_spread), "a bigint, b bigint")).distinct()
     rep = small(materialize(member.select(F.col("doc_id").alias("_doc"), "rep").filter("_doc != rep"), "copies"))
-    named = met.distinct()
     for side in ("a", "b"):
-        named = named.join(rep.withColumnsRenamed({"_doc": f"_{side}", "rep": f"r{side}"}), F.col(side) == F.col(f"_{side}"), "left").withColumn(side, F.coalesce(f"r{side}", side)).select("a", "b", "local")
-    pairs = materialize(named.filter("a != b").distinct(), "pairs")
+        named = named.join(rep.withColumnsRenamed({"_doc": f"_{side}", "rep": f"r{side}"}), F.col(side) == F.col(f"_{side}"), "left").withColumn(side, F.coalesce(f"r{side}", side)).select("a", "b")
+    stars = materialize(named.filter("a != b").distinct(), "stars")
     release(met)
-    # Who shares a signature with a step's least node is compared with all first nodes that one meets.
-    far, near = pairs.filter("NOT local").select("a", "b"), pairs.filter("local").select(F.col("a").alias("f"), F.col("b").alias("x"))
-    through = near.join(far, F.col("f") == F.col("b")).select("a", F.col("x").alias("b")).filter("a != b")
-    stars = materialize(far.unionByName(pairs.filter("local").select("a", "b")).unionByName(through).distinct(), "stars")
-    release(pairs)
     equal = member.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = small(materialize(member.select(F.col("rep").alias("_rep"), "n").distinct(), "reps"))
     sizes = stars.join(reps, F.col("b") == F.col("_rep")).groupBy("a").agg((F.count(F.lit(1)) < STAR).alias("few"), (F.sum("n") <= STAR_SHINGLES).alias("short"))
