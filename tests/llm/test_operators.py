@@ -514,3 +514,25 @@ def test_license_scan_against_containment_by_loops(spark):
             if max(near, default=0) >= 0.8:
                 want[n] = max(near)
         assert dict(zip(r["licenses"], r["containments"])) == pytest.approx(want), texts[r["doc_id"]]
+
+
+def test_url_filter_against_its_sql(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    hosts = ["a.com", "example.com", "www.example.com", "x.example.com", "b.net", "c.org", "d.org", "E.ORG"]
+    paths = ["", "/", "/en/", "/en/x", "/es/y", "/fr/z?utm_a=1&q=2", "/p/q/", "/p/q?gclid=1", "/p/r#frag"]
+    url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}"
+    link = ['<link rel="canonical" href="{}">', "<link\n rel='canonical'\n href='{}'/>", "<LINK HREF={} REL=canonical>", '<meta http-equiv="refresh" content="0; url={}">', "<link rel=stylesheet href={}>"]
+    target = lambda: rng.choice([url(), "/es/y", "//b.net/fr/z", "more", "sub/page"])
+    rows = [(i, rng.choice([url(), url(), url(), None, "no-scheme", ""]), rng.choice([None, "", "text ".join(rng.choice(link).format(target()) for _ in range(rng.randrange(3)))]), 1, 2) for i in range(150)]
+    rows += rows[:3]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, node int, component int")
+    got = url_filter.judge(pages, url_filter.RULES).toPandas()
+    con = duckdb.connect()
+    con.register("frame", pages.toPandas())
+    con.execute("CREATE VIEW pages AS SELECT page_id, CAST(url AS VARCHAR) AS url, CAST(html AS VARCHAR) AS html FROM frame")
+    want = con.execute(url_filter.OP6_SQL).fetchdf()
+    as_rows = lambda t: sorted(map(str, t[["page_id", "host", "path", "rule", "verdict"]].where(t.notna(), None).itertuples(index=False, name=None)))
+    assert as_rows(got) == as_rows(want) and set(got.verdict) == {"allow", "block"}
+    assert url_filter.judge(pages.limit(0), url_filter.RULES).count() == 0

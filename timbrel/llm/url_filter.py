@@ -107,26 +107,43 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir, "pages"), RULES)
 
 
-#: Urls without a rule take the decision of their node; the links between nodes are followed by recursion.
-OP6_SQL = r"""
-WITH RECURSIVE rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-split AS (
-  SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1) AS query FROM pages),
-named AS (
-  SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)=')), '&') AS kept FROM split),
-judged AS (
-  SELECT page_id, host, path, html, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS node,
-         (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule,
-         (SELECT v FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS said
-  FROM named),
-targets AS (
-  SELECT node, regexp_extract(html, '(?i)<link\s[^>]*rel="canonical"[^>]*href="https?://([^"]*)"', 1) AS target FROM judged WHERE node IS NOT NULL),
-edges AS (SELECT node AS a, regexp_replace(target, '/+$', '') AS b FROM targets WHERE target <> ''),
-both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-reach(a, b) AS (SELECT DISTINCT node, node FROM judged WHERE node IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
-decided AS (
-  SELECT r.a AS node, bool_or(j.said = 'allow') AS allowed, bool_or(j.said = 'block') AS blocked FROM reach r JOIN judged j ON j.node = r.b AND j.said IS NOT NULL GROUP BY r.a)
+def _sql_host(url: str) -> str:
+    return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_SMALL}')"
+
+
+def _sql_path(url: str) -> str:
+    return f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _sql_node(url: str) -> str:
+    query = f"regexp_extract(coalesce({url}, ''), '(?s)^[^?#]*\\?([^#]*)', 1)"
+    kept = f"array_to_string(list_filter(string_split({query}, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid)=')), '&')"
+    return f"CASE WHEN {_sql_host(url)} <> '' THEN {_sql_host(url)} || regexp_replace({_sql_path(url)}, '/+$', '') || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END END"
+
+
+def _sql_rule(what: str, host: str, path: str) -> str:
+    return f"(SELECT {what} FROM rules WHERE ({host} = h OR ends_with({host}, '.' || h)) AND starts_with({path}, p) ORDER BY length(h || p) DESC LIMIT 1)"
+
+
+#: Urls without a rule take the decision of their node's aliases; links are followed by recursion. Canonical and refresh
+#: links of any quoting, over line ends and relative ones count, but for ``.`` and ``..`` segments of relative links.
+OP6_SQL = rf"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {", ".join(map(str, RULES))}),
+judged AS (SELECT *, {_sql_rule("h || p", "host", "path")} AS rule, {_sql_rule("v", "host", "path")} AS said
+  FROM (SELECT page_id, url, html, {_sql_host("url")} AS host, {_sql_path("url")} AS path, {_sql_node("url")} AS node FROM pages)),
+tags AS (SELECT node, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM judged WHERE node IS NOT NULL),
+links AS (SELECT node, host, path, CASE
+    WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS x FROM tags),
+targets AS (SELECT node AS a, CASE WHEN contains(x, '://') THEN x WHEN starts_with(x, '//') THEN 'http:' || x WHEN starts_with(x, '/') THEN 'http://' || host || x
+    ELSE 'http://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)?') END || x END AS target FROM links WHERE x <> ''),
+edges AS (SELECT DISTINCT a, target, {_sql_node("target")} AS b FROM targets),
+both_ways AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
+explicit AS (SELECT node, said FROM judged WHERE node IS NOT NULL AND said IS NOT NULL
+  UNION ALL SELECT b, {_sql_rule("v", "host", "path")} FROM (SELECT b, {_sql_host("target")} AS host, {_sql_path("target")} AS path FROM edges WHERE b IS NOT NULL)),
+asking AS (SELECT DISTINCT node FROM judged WHERE node IS NOT NULL AND rule IS NULL),
+reach(a, b) AS (SELECT node, node FROM asking UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+decided AS (SELECT r.a AS node, bool_or(x.said = 'allow') AS allowed, bool_or(x.said = 'block') AS blocked FROM reach r JOIN explicit x ON x.node = r.b AND x.said IS NOT NULL GROUP BY r.a)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict
 FROM judged LEFT JOIN decided USING (node)
 """
