@@ -22,20 +22,24 @@ class Analysis(NamedTuple):
 
     summaries: DataFrame
     events: DataFrame
-    kept: DataFrame
+    kept: tuple[DataFrame, ...]
 
     def release(self) -> None:
-        self.kept.unpersist()
+        for frame in self.kept:
+            frame.unpersist()
 
 
 def analyse(lines: DataFrame, config: Config | None = None, format_name: str | None = None, span: str | None = None, now: datetime | None = None, year: int = 2024, baselines: DataFrame | None = None, score=None) -> Analysis:
     """The analysis of ``lines`` (log_path, line_number, raw), which are read more than once. ``now``: UTC, the end of
     ``span`` and the time of signals without one. ``score``: a model instead of the lexical one (see ``summarize``)."""
     config, now = config or Config(), now or datetime.now(timezone.utc).replace(tzinfo=None)
+    tables: list[DataFrame] = []
     if format_name:
         formats = lines.select("log_path").distinct().withColumn("format", F.lit(engine.named(format_name).name))
     else:
-        formats = engine.covered(lines, engine.detect(lines))
+        tables.append(engine.detect(lines).persist())
+        formats = engine.covered(lines, tables[0]).persist()
+        tables.append(formats)
     # The detectors read the events more than once; parsing again would cost more than keeping them.
     kept = engine.read_all(lines, formats, year).persist(StorageLevel.MEMORY_AND_DISK)
     counts = kept.groupBy("log_path").agg(F.count_if(~F.col("meta")).alias("parsed_count"), F.count_if("meta").alias("_meta"))
@@ -55,4 +59,4 @@ def analyse(lines: DataFrame, config: Config | None = None, format_name: str | N
     signals = correlation.correlate(correlation.merge(found), a.correlation_gap_seconds * 1_000_000)
     if score is None and config.inference.enabled:
         score = partial(inference.lexical, threshold=config.inference.threshold)
-    return Analysis(summary.summarize(logs, signals, score), events, kept)
+    return Analysis(summary.summarize(logs, signals, score), events, (kept, *tables))

@@ -326,6 +326,114 @@ def mixed_formats_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("log_path", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("line_number").alias("last_line"), F.countDistinct("ts").alias("stamps"))
 
 
+def _lines(spark: SparkSession, sf_dir: str, shapes: dict[str, list], heads: dict[str, list[str]] | None = None) -> DataFrame:
+    """``events`` rendered as logs: each event gives a log the lines listed for it, behind the log's first lines."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    cells = []
+    for log, shape in shapes.items():
+        first = len((heads or {}).get(log, []))
+        cells += [F.struct(F.lit(log).alias("log_path"), (F.col("event_id") * len(shape) + first + i + 1).alias("line_number"), line.alias("raw")) for i, line in enumerate(shape)]
+    rows = e.select(F.explode(F.array(*cells)).alias("l")).select("l.*").filter("raw IS NOT NULL")
+    if not heads:
+        return rows
+    top = [(log, n, line) for log, lines in heads.items() for n, line in enumerate(lines, 1)]
+    return rows.unionByName(spark.createDataFrame(top, "log_path string, line_number long, raw string"))
+
+
+def _events(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Detected, checked for coverage and parsed; what is kept is a row for each log."""
+    formats = engine.covered(lines, engine.detect(lines).persist()).persist()
+    parsed = windows.with_us(engine.parse_all(lines, formats))
+    return parsed.select("log_path", "line_number", "us", "severity", "source", "message")
+
+
+def _word(error: str, signup: str, other: str):
+    return F.when(F.col("event_type") == "error", error).when(F.col("event_type") == "signup", signup).otherwise(other)
+
+
+_US, _US_S = "epoch_us(ts)", "CAST(epoch_us(date_trunc('second', ts)) AS BIGINT)"
+_US_MS = "epoch_us(date_trunc('milliseconds', ts))"
+
+
+@query(f"""SELECT 'zeek/conn.log' AS log_path, event_id + 3 AS line_number, {_US_MS} AS us, CASE event_type WHEN 'error' THEN 'warning' ELSE 'info' END AS severity, 'zeek-conn' AS source,
+  concat('tcp 10.0.0.', user_id, ' -> 10.1.1.1:443 [', CASE event_type WHEN 'error' THEN 'REJ' ELSE 'SF' END, ']') AS message FROM events
+UNION ALL SELECT 'iis.log', event_id + 3, {_US_S}, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END, 'iis',
+  concat('GET /', event_type, ' -> ', CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 ELSE 200 END) FROM events
+UNION ALL SELECT 'cf.log', event_id + 2, {_US_S}, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END, 'cloudfront',
+  concat('GET /', event_type, ' -> ', CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 ELSE 200 END) FROM events""", base=False)
+def header_directed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns named by header lines: zeek, IIS and CloudFront logs."""
+    status = _word("503", "404", "200")
+    day, clock = F.date_format("t", "yyyy-MM-dd"), F.date_format("t", "HH:mm:ss")
+    stamp = F.format_string("%d.%03d", F.unix_seconds("t"), F.pmod(F.unix_millis("t"), F.lit(1000)))
+    host = F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))
+    shapes = {
+        "zeek/conn.log": [F.concat_ws("\t", stamp, F.lit("C1"), host, F.lit("10.1.1.1"), F.lit("443"), F.lit("tcp"), _word("REJ", "SF", "SF"))],
+        "iis.log": [F.concat_ws(" ", day, clock, F.lit("10.1.1.1 GET"), F.concat(F.lit("/"), "event_type"), status, F.lit("12"))],
+        "cf.log": [F.concat_ws("\t", day, clock, F.lit("FRA2"), host, F.lit("GET"), F.concat(F.lit("/"), "event_type"), status)],
+    }
+    heads = {
+        "zeek/conn.log": ["#path\tconn", "#fields\tts\tuid\tid.orig_h\tid.resp_h\tid.resp_p\tproto\tconn_state"],
+        "iis.log": ["#Software: IIS", "#Fields: date time s-ip cs-method cs-uri-stem sc-status time-taken"],
+        "cf.log": ["#Fields: date time x-edge-location c-ip cs-method cs-uri-stem sc-status"],
+    }
+    return _events(spark, sf_dir, _lines(spark, sf_dir, shapes, heads))
+
+
+@query(f"""SELECT 'db/alert_x.log' AS log_path, event_id * 2 + 2 AS line_number, {_US} AS us, CASE event_type WHEN 'error' THEN 'critical' WHEN 'signup' THEN 'error' ELSE 'info' END AS severity, 'oracle' AS source,
+  CASE event_type WHEN 'error' THEN concat('ORA-00600: internal error ', event_id) WHEN 'signup' THEN 'ORA-01555: snapshot too old' ELSE concat('ALTER DATABASE step ', event_id) END AS message FROM events
+UNION ALL SELECT 'mysql-slow.log', event_id * 4 + 3, CASE WHEN event_type = 'view' THEN NULL ELSE {_US} END, CASE WHEN event_id % 9 >= 5 THEN 'error' ELSE 'warning' END, 'mysql',
+  concat('Slow query ', event_id % 9, '.500s by ', CASE WHEN event_type = 'signup' THEN '?' ELSE concat('u', user_id, '@db1') END, ' (rows_examined=', event_id, ')') FROM events WHERE event_type <> 'view'""", base=False)
+def carried_state_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that need earlier ones: Oracle alert logs, and MySQL slow-query blocks, some without their time or user."""
+    n, iso = F.col("event_id").cast("string"), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    said = F.when(F.col("event_type") == "error", F.concat(F.lit("ORA-00600: internal error "), n)).when(F.col("event_type") == "signup", "ORA-01555: snapshot too old").otherwise(F.concat(F.lit("ALTER DATABASE step "), n))
+    time = F.when(F.col("event_type") != "view", F.concat(F.lit("# Time: "), iso, F.lit("Z")))
+    user = F.when(F.col("event_type") != "signup", F.concat(F.lit("# User@Host: u"), F.col("user_id").cast("string"), F.lit(" @ db1 []")))
+    took = F.concat(F.lit("# Query_time: "), (F.col("event_id") % 9).cast("string"), F.lit(".5  Lock_time: 0.1 Rows_sent: 1  Rows_examined: "), n)
+    return _events(spark, sf_dir, _lines(spark, sf_dir, {"db/alert_x.log": [F.concat(iso, F.lit("Z")), said], "mysql-slow.log": [time, user, took, F.lit("SELECT 1;")]}))
+
+
+@query(f"""SELECT 'app.log' AS log_path, event_id * 30 + 1 AS line_number, {_US_MS} AS us, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END AS severity, 'a.b.Worker' AS source,
+  concat('did ', event_type, CASE WHEN event_type = 'error' THEN (SELECT string_agg(concat(chr(10), '  at frame ', i), '' ORDER BY i) FROM range(least(20, 1 + event_id % 25)) AS r(i)) ELSE '' END) AS message FROM events""", base=False)
+def folded_tracebacks_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracebacks of up to 25 lines behind the errors of an application's log; 20 are stored."""
+    line = F.concat(F.date_format("t", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" [main] "), _word("ERROR", "WARN", "INFO"), F.lit(" a.b.Worker - did "), F.col("event_type"))
+    frames = [F.when((F.col("event_type") == "error") & (F.col("event_id") % 25 >= i), F.lit(f"  at frame {i}")) for i in range(29)]
+    return _events(spark, sf_dir, _lines(spark, sf_dir, {"app.log": [line, *frames]}))
+
+
+@query(f"""SELECT 'k.log' AS log_path, event_id + 1 AS line_number, {_US} AS us, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END AS severity, 'klog' AS source, concat('did ', event_type) AS message FROM events
+UNION ALL SELECT 'redis.log', event_id + 1, {_US_MS}, CASE event_type WHEN 'error' THEN 'warning' WHEN 'signup' THEN 'info' ELSE 'debug' END, 'redis', concat('did ', event_type) FROM events
+UNION ALL SELECT 'ids.log', event_id + 1, {_US}, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END, 'snort', concat('did ', event_type) FROM events
+UNION ALL SELECT 'ase.log', event_id + 1, {_US_MS}, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END, 'pingintelligence', concat('did ', event_type) FROM events""", base=False)
+def short_stamps_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps without a year, with fractions, and with the day before the month."""
+    did = F.concat(F.lit("did "), F.col("event_type"))
+    shapes = {
+        "k.log": [F.concat(_word("E", "W", "I"), F.date_format("t", "MMdd HH:mm:ss.SSSSSS"), F.lit("       1 main.go:12] "), did)],
+        "redis.log": [F.concat(F.lit("12:M "), F.date_format("t", "dd MMM yyyy HH:mm:ss.SSS"), F.lit(" "), _word("#", "*", "."), F.lit(" "), did)],
+        "ids.log": [F.concat(F.date_format("t", "MM/dd-HH:mm:ss.SSSSSS"), F.lit("  [**] [1:2:3] "), did, F.lit(" [**] [Priority: "), _word("1", "2", "3"), F.lit("] {TCP} 1.2.3.4:1 -> 5.6.7.8:2"))],
+        "ase.log": [F.concat(F.lit("["), F.date_format("t", "EEE MMM d HH:mm:ss:SSS yyyy"), F.lit("] [thread:9] ["), _word("error", "warning", "info"), F.lit("] "), did)],
+    }
+    return _events(spark, sf_dir, _lines(spark, sf_dir, shapes))
+
+
+@query("""WITH l AS (SELECT concat('log-', event_id % 10) AS log_path, event_id % 10 AS kind, row_number() OVER (PARTITION BY event_id % 10 ORDER BY event_id) AS n FROM events),
+c AS (SELECT log_path, kind, count(*) AS lines, count(*) FILTER (n <= 20 OR n % 10 < kind) AS fit FROM l GROUP BY ALL)
+SELECT log_path, CASE WHEN fit >= 0.6 * lines THEN 'log4j' ELSE 'generic' END AS format, lines AS parsed FROM c WHERE fit < 0.6 * lines UNION ALL SELECT log_path, 'log4j', fit FROM c WHERE fit >= 0.6 * lines""", base=False)
+def coverage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that begin in one format, of which more or fewer later lines fit; the others are read as generic."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    rows = e.select((F.col("event_id") % 10).alias("kind"), (F.floor(F.col("event_id") / 10) + 1).cast("long").alias("line_number"), "t")
+    fits = (F.col("line_number") <= 20) | (F.col("line_number") % 10 < F.col("kind"))
+    good = F.concat(F.date_format("t", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" [main] INFO a.b.Worker - fine"))
+    lines = rows.select(F.concat(F.lit("log-"), F.col("kind").cast("string")).alias("log_path"), "line_number", F.when(fits, good).otherwise("plain words").alias("raw"))
+    formats = engine.covered(lines, engine.detect(lines).persist()).persist()
+    counts = engine.parse_all(lines, formats).groupBy("log_path").agg(F.count(F.lit(1)).alias("parsed"))
+    return formats.join(counts, "log_path").select("log_path", "format", "parsed")
+
+
 @query("""SELECT count(*) AS events, CAST(sum(n) AS BIGINT) AS folded FROM (SELECT event_id, (SELECT count(*) FROM events y WHERE y.event_type <> 'error' AND y.event_id > x.event_id
   AND y.event_id < coalesce((SELECT min(z.event_id) FROM events z WHERE z.event_type = 'error' AND z.event_id > x.event_id), 1e18)) AS n FROM events x WHERE event_type = 'error')""", base=False)
 def continuation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:

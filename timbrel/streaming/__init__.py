@@ -1 +1 @@
-
+"""Logs as they grow, with Structured Streaming."""
