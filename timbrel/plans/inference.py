@@ -16,7 +16,7 @@ def messages(found: Column, each: int = 8, most: int = 30, width: int = 256) ->
     """Distinct cut messages of the first samples of each signal; ``found``: the arrays of samples of a log's signals, in
     final order."""
     heads = F.transform(found, lambda samples: F.transform(F.slice(samples, 1, each), lambda s: F.trim(F.substring(s["message"], 1, width))))
-    return F.slice(F.array_distinct(F.filter(F.flatten(heads), lambda m: m.isNotNull())), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.flatten(heads), lambda m: m != "")), 1, most)
 
 
 def lexical(chosen: Column, threshold: float = 0.35) -> Column:
@@ -35,25 +35,27 @@ def lexical(chosen: Column, threshold: float = 0.35) -> Column:
     return F.transform(F.array(best), lambda b: F.struct(F.when(b["confidence"] >= threshold, b["category"]).otherwise("unknown").alias("category"), F.when(b["confidence"] >= threshold, b["confidence"]).otherwise(0.0).alias("confidence")))[0]
 
 
+def follow(vectors: np.ndarray, least: float) -> list[int]:
+    """For each vector the first earlier leader that is similar enough, or itself, a leader then."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    heads: list[int] = []
+    out = []
+    for i in range(len(unit)):
+        near = unit[heads] @ unit[i] >= least if heads else np.zeros(0, bool)
+        if not near.any():
+            heads.append(i)
+        out.append(heads[int(near.argmax())] if near.any() else i)
+    return out
+
+
 def leaders(vectors: DataFrame, least: float = 0.75) -> DataFrame:
     """(log_path, n, leader): each vector joins the first leader that is similar enough, in order of ``n``; a log's
     distinct messages are few. Input: (log_path, n, vector)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("n", kind="stable")
-        unit = np.stack(group["vector"].to_numpy()).astype(float)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-        heads: list[int] = []
-        out = []
-        for i in range(len(unit)):
-            near = unit[heads] @ unit[i] >= least if heads else np.zeros(0, bool)
-            if near.any():
-                out.append(heads[int(near.argmax())])
-            else:
-                heads.append(i)
-                out.append(i)
         n = group["n"].to_numpy()
-        return pd.DataFrame({"log_path": group["log_path"], "n": n, "leader": n[out]})
+        return pd.DataFrame({"log_path": group["log_path"], "n": n, "leader": n[follow(np.stack(group["vector"].to_numpy()).astype(float), least)]})
 
     return vectors.groupBy("log_path").applyInPandas(run, "log_path string, n bigint, leader bigint")
 
