@@ -248,17 +248,23 @@ def _sign(k: int, num: int, den: int, buckets: int):
     return trimmed(run)
 
 
-_MET = "a bigint, b bigint, load bigint, kind int, blob binary"
+_MET = "load bigint, kind int, blob binary"
+
+
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """The distinct rows of the columns, ascending."""
+    order = np.lexsort(columns[::-1])
+    rows = np.stack([c[order] for c in columns], axis=1)
+    return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)]]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the rows of a bucket: pairs (a, b) of a signature's least holder and another one (kind 2); for each load the
-    pairs of a least holder and a set of holders (kind 1). Sets of holders go on as they are (kind 0)."""
+    """From the rows of a bucket, for each load: the pairs of a signature's least holder and a set of holders (kind 1), or
+    another only holder (kind 2). Sets of holders go on as they are (kind 0)."""
     now, held = None, []
 
-    def out(a, b, loads, kinds, blobs):
-        values = ((a, pa.int64()), (b, pa.int64()), (loads, pa.int64()), (kinds, pa.int32()), (blobs, pa.binary()))
-        return pa.record_batch([pa.array(x, kind) if x is not None else pa.nulls(len(kinds), kind) for x, kind in values], names=["a", "b", "load", "kind", "blob"])
+    def out(loads, kind, blobs):
+        return pa.record_batch([pa.array(loads, pa.int64()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["load", "kind", "blob"])
 
     def met():
         names, least, sets, loads = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -266,20 +272,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, least, sets, loads = names[order], least[order], sets[order], loads[order]
         start = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
         first = np.repeat(np.minimum.reduceat(least, start), np.diff(np.append(start, len(names))))
-        alone = (sets < 0) & (least != first)
-        pairs = np.unique(np.stack([first[alone], least[alone]], axis=1), axis=0)
-        yield out(pairs[:, 0], pairs[:, 1], None, np.full(len(pairs), 2), None)
-        many = sets >= 0
-        found = np.unique(np.stack([loads[many], first[many], sets[many]], axis=1), axis=0)
-        cut = np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0])) if len(found) else []
-        blobs = [x[:, 1:].astype("<i8").tobytes() for x in np.split(found, cut[1:])] if len(found) else []
-        if blobs:
-            yield out(None, None, found[cut, 0], np.ones(len(blobs), np.int32), blobs)
+        for kind, some, other in ((1, sets >= 0, sets), (2, (sets < 0) & (least != first), least)):
+            if some.any():
+                found = _distinct(loads[some], first[some], other[some])
+                cut = np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0]))
+                yield out(found[cut, 0], kind, [x[:, 1:].astype("<i8").tobytes() for x in np.split(found, cut[1:])])
 
     for batch in batches:
         for bucket, load, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "load", "kind", "blob")), strict=True):
             if kind == 0:
-                yield out(None, None, [load], [0], [blob])
+                yield out([load], 0, [blob])
                 continue
             if bucket != now and held:
                 yield from met()
@@ -292,31 +294,35 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs (a, b) of each load: a least holder and the members of its sets of holders."""
-    now, sets, held = None, None, []
+    """Distinct pairs (a, b) of each load: a least holder and another holder, or all members of its sets of holders."""
+    now, sets, held, alone = None, None, [], []
 
     def pairs():
-        many, place, ids = sets
-        at = np.append(0, np.cumsum(many, dtype=np.int64))
-        found = np.concatenate(held)
-        size = many[found[:, 1]].astype(np.int64)
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        b = ids[place[np.repeat(at[found[:, 1]], size) + inside]]
-        near = np.unique(np.stack([np.repeat(found[:, 0], size), b], axis=1), axis=0)
+        near = list(alone)
+        if held:
+            many, place, ids = sets
+            at = np.append(0, np.cumsum(many, dtype=np.int64))
+            found = np.concatenate(held)
+            found = _distinct(found[:, 0], found[:, 1])
+            size = many[found[:, 1]].astype(np.int64)
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            near.append(np.stack([np.repeat(found[:, 0], size), ids[place[np.repeat(at[found[:, 1]], size) + inside]]], axis=1))
+        near = np.concatenate(near)
+        near = _distinct(near[:, 0], near[:, 1])
         near = near[near[:, 0] != near[:, 1]]
         return pa.record_batch([pa.array(near[:, 0]), pa.array(near[:, 1])], names=["a", "b"])
 
     for batch in batches:
         for load, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("load", "kind", "blob")), strict=True):
-            if load != now and held:
-                yield pairs()
             if load != now:
-                now, held = load, []
+                if held or alone:
+                    yield pairs()
+                now, held, alone = load, [], []
             if kind == 0:
                 sets = _arrays(blob, "<u4", "<u2", "<i8")
             else:
-                held.append(np.frombuffer(blob, "<i8").reshape(-1, 2))
-    if held:
+                (held if kind == 1 else alone).append(np.frombuffer(blob, "<i8").reshape(-1, 2))
+    if held or alone:
         yield pairs()
 
 
@@ -587,7 +593,14 @@ def _links(docs: DataFrame, member: DataFrame, final: DataFrame, k: int, num: in
 
 
 def _between(docs: DataFrame, stars: DataFrame, member: DataFrame, linked: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of large stars that together with ``linked`` form their classes."""
+    """Links (a, b) of large stars that together with ``linked`` form their classes. Stars of one class need none."""
+    own = _classed(member, linked)
+    apart = _torn(stars, own)
+    release(own)
+    if apart.isEmpty():
+        release(apart)
+        return linked.limit(0)
+    stars = apart.select("a", "b")
     first = compared(docs, stars, k, num, den)
     linked = linked.unionByName(first.filter("linked").select("a", "b"))
     own = _classed(member, linked)
@@ -600,7 +613,7 @@ def _between(docs: DataFrame, stars: DataFrame, member: DataFrame, linked: DataF
     torn = _torn(centred, own)
     rest = _meeting(docs, torn, own, k, num, den)
     late = compared(docs, rest, k, num, den)
-    release(own, torn, centred, rest)
+    release(own, apart, torn, centred, rest)
     return reduce(DataFrame.unionByName, [x.filter("linked").select("a", "b") for x in (first, second, late)])
 
 
@@ -621,8 +634,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     signed = known.mapInArrow(_sign(k, num, den, buckets), _BLOBS).repartition("bucket").sortWithinPartitions("bucket", "load")
     met = materialize(signed.mapInArrow(trimmed(_meet), _MET), "met")
     drop_shuffles(spark)
-    near = met.filter("kind < 2").select("load", "kind", "blob").repartition("load").sortWithinPartitions("load", "kind")
-    named = met.filter("kind = 2").select("a", "b").unionByName(near.mapInArrow(trimmed(_spread), "a bigint, b bigint")).distinct()
+    named = met.repartition("load").sortWithinPartitions("load", "kind").mapInArrow(trimmed(_spread), "a bigint, b bigint").distinct()
     rep = small(materialize(member.select(F.col("doc_id").alias("_doc"), "rep").filter("_doc != rep"), "copies"))
     for side in ("a", "b"):
         named = named.join(rep.withColumnsRenamed({"_doc": f"_{side}", "rep": f"r{side}"}), F.col(side) == F.col(f"_{side}"), "left").withColumn(side, F.coalesce(f"r{side}", side)).select("a", "b")
