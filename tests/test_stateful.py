@@ -110,5 +110,5 @@ def test_values_are_carried_over_buckets(spark, monkeypatch):
         before = now.get(log)
         now[log] = v or before
         want.append((log, n, now[log], before))
-    out = stateful.carried(stateful.carried(frame, "here", F.col("v")), "before", F.col("v"), behind=True)
+    out = stateful.carried(stateful.carried(frame, {"here": F.col("v"), "twice": F.concat("v", "v")}), {"before": F.col("v")}, behind=True)
     assert sorted((r["log_path"], r["line_number"], r["here"], r["before"]) for r in out.collect()) == sorted(want)

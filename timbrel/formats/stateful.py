@@ -25,16 +25,19 @@ ORACLE_CRITICAL = ["00600", "07445", "00603", "01578", "00204", "27300"]
 BUCKET = 1 << 16
 
 
-def carried(rows: DataFrame, name: str, value: Column, behind: bool = False) -> DataFrame:
-    """``rows`` (log_path, line_number, ...) with ``name``: the last ``value`` that isn't null, of the lines up to this one,
-    or of those before it."""
-    rows = rows.withColumn("_value", value).withColumn("_bucket", F.expr(f"line_number div {BUCKET}"))
-    last = F.max(F.when(F.col("_value").isNotNull(), F.struct("line_number", "_value")))["_value"]
+def carried(rows: DataFrame, values: dict[str, Column], behind: bool = False) -> DataFrame:
+    """``rows`` (log_path, line_number, ...) with a column for each of ``values``: the last one that isn't null, of the lines
+    up to this one, or of those before it."""
+    names = list(values)
+    rows = rows.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()], F.expr(f"line_number div {BUCKET}").alias("_bucket"))
+    last = [F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct("line_number", f"_v_{n}")))[f"_v_{n}"].alias(f"_e_{n}") for n in names]
     up_to = Window.partitionBy("_log").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(F.col("log_path").alias("_log"), F.col("_bucket").alias("_at")).agg(last.alias("_end")).select("_log", "_at", F.last("_end", ignorenulls=True).over(up_to).alias("_before"))
+    ends = rows.groupBy(F.col("log_path").alias("_log"), F.col("_bucket").alias("_at")).agg(*last)
+    ends = ends.select("_log", "_at", *[F.last(f"_e_{n}", ignorenulls=True).over(up_to).alias(f"_b_{n}") for n in names])
     inside = Window.partitionBy("log_path", "_bucket").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1 if behind else 0)
     joined = rows.join(ends, (F.col("log_path") == F.col("_log")) & (F.col("_bucket") == F.col("_at")))
-    return joined.withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_before"))).drop("_value", "_bucket", "_log", "_at", "_before")
+    kept = [c for c in rows.columns if c != "_bucket" and c not in {f"_v_{n}" for n in names}]
+    return joined.select(*kept, *[F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_b_{n}")).alias(n) for n in names])
 
 
 def folded(lines: DataFrame, events: DataFrame, fmt: Format) -> DataFrame:
@@ -43,7 +46,7 @@ def folded(lines: DataFrame, events: DataFrame, fmt: Format) -> DataFrame:
     raw = F.col("raw")
     kind = F.when(raw.rlike(f"(?:{fmt.pattern})"), "event").when(raw.rlike(TRACEBACK), "more")
     rows = lines.filter(F.trim("raw") != "").select("log_path", "line_number", "raw", kind.alias("kind")).filter("kind IS NOT NULL")
-    more = carried(rows, "of", F.when(F.col("kind") == "event", F.col("line_number"))).filter("kind = 'more' AND of IS NOT NULL")
+    more = carried(rows, {"of": F.when(F.col("kind") == "event", F.col("line_number"))}).filter("kind = 'more' AND of IS NOT NULL")
     place = F.row_number().over(Window.partitionBy("log_path", "of").orderBy("line_number"))
     kept = more.withColumn("place", place).filter(F.col("place") <= CONTINUED).groupBy(F.col("log_path").alias("_log"), F.col("of").alias("_of"))
     texts = kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "raw"))), lambda x: x["raw"]), "\n").alias("_more"))
@@ -61,8 +64,7 @@ def _at(fields: Column, values: Column):
 
 def _zeek(lines: DataFrame, fmt: Format, year: int) -> tuple[DataFrame, Column, Column]:
     raw = F.col("raw")
-    rows = carried(lines, "_fields", F.when(raw.startswith("#fields"), raw))
-    rows = carried(rows, "_kind", F.when(raw.startswith("#path\t"), F.trim(F.get(F.split(raw, "\t"), F.lit(1)))))
+    rows = carried(lines, {"_fields": F.when(raw.startswith("#fields"), raw), "_kind": F.when(raw.startswith("#path\t"), F.trim(F.get(F.split(raw, "\t"), F.lit(1))))})
     kind = F.coalesce("_kind", F.lit("conn"))
     fields = F.when(F.col("_fields").isNull(), F.array(*map(F.lit, ZEEK_FIELDS))).otherwise(F.slice(F.split("_fields", "\t"), 2, 10_000))
     get = _at(fields, F.split(raw, "\t"))
@@ -81,7 +83,7 @@ def _w3c(between: str, extra: dict[str, str]):
 
     def read(lines: DataFrame, fmt: Format, year: int) -> tuple[DataFrame, Column, Column]:
         raw = F.col("raw")
-        rows = carried(lines, "_fields", F.when(raw.startswith("#Fields:"), F.trim(F.substring(raw, 9, 1 << 20))))
+        rows = carried(lines, {"_fields": F.when(raw.startswith("#Fields:"), F.trim(F.substring(raw, 9, 1 << 20)))})
         fields = F.filter(F.split("_fields", r"\s+"), lambda x: x != "")
         values = F.split(F.trim(raw) if between != "\t" else raw, between)
         get = _at(fields, values)
@@ -99,7 +101,7 @@ def _oracle(lines: DataFrame, fmt: Format, year: int) -> tuple[DataFrame, Column
     """Alert logs: a time stands on its own line and holds until the next one; one that can't be read takes it back."""
     raw = F.col("raw")
     meta = raw.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?[+\-Z]") & (F.length(F.trim("raw")) <= 40)
-    rows = carried(lines, "_time", F.when(meta, F.struct(stamp("iso", F.trim("raw"), year).alias("ts"))))
+    rows = carried(lines, {"_time": F.when(meta, F.struct(stamp("iso", F.trim("raw"), year).alias("ts")))})
     code = F.regexp_extract(raw, r"\b(?:ORA|TNS)-(\d{4,5})\b", 1)
     severity = F.when(code.isin(ORACLE_CRITICAL), "critical").when(code != "", "error").when(raw.contains("Errors in file"), "warning").otherwise("info")
     fields = {"error_code": F.nullif(F.regexp_extract(raw, r"\b((?:ORA|TNS)-\d{4,5})\b", 1), F.lit(""))}
@@ -114,9 +116,13 @@ def _mysql(lines: DataFrame, fmt: Format, year: int) -> tuple[DataFrame, Column,
     host = F.regexp_extract(raw, r"^# User@Host: \S+ @ (\S+)", 1)
     timing = r"^# Query_time: ([\d.]+)\s+Lock_time: ([\d.]+)\s+Rows_sent: (\d+)\s+Rows_examined: (\d+)"
     slow = raw.rlike(timing)
-    rows = carried(lines, "_time", F.when(at != "", F.struct(at.alias("v"))).when(slow, F.struct(none.alias("v"))), behind=True)
-    rows = carried(rows, "_user", F.when(user != "", F.struct(F.concat(user, F.lit("@"), host).alias("v"))).when(slow, F.struct(none.alias("v"))), behind=True)
-    rows = carried(rows, "_body", F.when(at != "", F.lit(False)).when(slow, F.lit(True)), behind=True)
+    over = F.struct(none.alias("v"))
+    values = {
+        "_time": F.when(at != "", F.struct(at.alias("v"))).when(slow, over),
+        "_user": F.when(user != "", F.struct(F.concat(user, F.lit("@"), host).alias("v"))).when(slow, over),
+        "_body": F.when(at != "", F.lit(False)).when(slow, F.lit(True)),
+    }
+    rows = carried(lines, values, behind=True)
     rows = rows.withColumn("_cells", cells(fmt))
     part = lambda i: F.regexp_extract(raw, timing, i)
     took, who = part(1).try_cast("double"), F.coalesce("_user.v", F.lit("?"))
