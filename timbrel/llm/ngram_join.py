@@ -417,12 +417,12 @@ def _classed(member: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _torn(stars: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs (a, b, class_b) of first sets whose partners are of more than one class."""
-    one = own.select(F.col("rep").alias("a"), F.col("class").alias("class_a"))
-    two = own.select(F.col("rep").alias("b"), F.col("class").alias("class_b"))
-    classed = materialize(stars.join(one, "a").join(two, "b"), "classed")
-    torn = classed.filter("class_a != class_b").select("a").distinct()
-    out = materialize(classed.join(torn, "a", "left_semi").select("a", "b", "class_b"), "torn")
+    """The pairs (a, b, class_b) of first sets whose partners are of more than one class. Classes are looked up for
+    partners; a star is then one row with its least and greatest class."""
+    classed = materialize(stars.select("a", "b").join(own.select(F.col("rep").alias("b"), F.col("class").alias("class_b")), "b").select("a", "b", "class_b"), "classed")
+    ends = classed.groupBy("a").agg(F.min("class_b").alias("low"), F.max("class_b").alias("high"))
+    torn = ends.join(own, F.col("a") == F.col("rep")).filter("low != high OR low != class").select("a")
+    out = materialize(classed.join(small(materialize(torn, "ids")), "a", "left_semi"), "torn")
     release(classed)
     return out
 
@@ -642,10 +642,10 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     release(met)
     equal = member.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = small(materialize(member.select(F.col("rep").alias("_rep"), "n").distinct(), "reps"))
-    sizes = stars.join(reps, F.col("b") == F.col("_rep")).groupBy("a").agg((F.count(F.lit(1)) < STAR).alias("few"), (F.sum("n") <= STAR_SHINGLES).alias("short"))
-    sizes = materialize(sizes, "sizes")
-    linked = _within(known, stars.join(small(sizes.filter("few AND short").select("a")), "a"), k, num, den)
-    large = materialize(stars.join(small(sizes.filter("NOT (few AND short)").select("a")), "a"), "large")
+    sizes = stars.join(reps, F.col("b") == F.col("_rep")).groupBy("a").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    sizes = materialize(sizes.filter((F.col("members") >= STAR) | (F.col("shingles") > STAR_SHINGLES)).select("a"), "sizes")
+    linked = _within(known, stars.join(small(sizes), "a", "left_anti"), k, num, den)
+    large = materialize(stars.join(small(sizes), "a", "left_semi"), "large")
     release(stars, sizes)
     drop_shuffles(spark)
     if not large.isEmpty():
