@@ -90,12 +90,13 @@ def _regions(counted: DataFrame, logs: DataFrame, window: int, multiplier: float
     before = Window.partitionBy("log_path", "bucket").orderBy("us").rowsBetween(Window.unboundedPreceding, -1)
     marked = marked.select("log_path", "bucket", "us", "dense", "base", (F.col("n") - F.col("dense")).alias("broken"))
     marked = marked.withColumn("_run", F.coalesce(F.sum("broken").over(before), F.lit(0)))
-    # A run ends where an event isn't dense. Their number up to a bucket is all that is gathered by log.
-    sums = marked.groupBy("log_path", "bucket").agg(F.sum("broken").alias("broken"))
-    up_to = Window.partitionBy("log_path").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("log_path", "bucket", F.coalesce(F.sum("broken").over(up_to), F.lit(0)).alias("_start"))
-    dense = marked.filter("dense > 0").join(sums, ["log_path", "bucket"])
-    runs = dense.groupBy("log_path", (F.col("_run") + F.col("_start")).alias("run")).agg(F.min("us").alias("low"), (F.max("us") + window).alias("high"), F.max("base").alias("base"))
+    # A run ends where an event isn't dense. One row for each run in a bucket, and one for what is between them, is all that
+    # is gathered by log: the number of such events in earlier buckets makes a run's number the same in all of its buckets.
+    small = marked.groupBy("log_path", "bucket", F.when(F.col("dense") > 0, F.col("_run")).alias("_run"))
+    small = small.agg(F.sum("broken").alias("broken"), F.min("us").alias("low"), F.max("us").alias("high"), F.max("base").alias("base"))
+    earlier = Window.partitionBy("log_path").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    small = small.withColumn("_start", F.coalesce(F.sum("broken").over(earlier), F.lit(0))).filter("_run IS NOT NULL")
+    runs = small.groupBy("log_path", (F.col("_run") + F.col("_start")).alias("run")).agg(F.min("low").alias("low"), (F.max("high") + window).alias("high"), F.max("base").alias("base"))
     return runs.select("log_path", _span(BURSTS, "error_burst", "", low=F.col("low"), high=F.col("high"), base=F.col("base").cast("double")).alias("span"), F.col("run").cast("long").alias("run"))
 
 
