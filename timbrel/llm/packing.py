@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import bucket_bits, documents, hash_bucket, materialize, ranked, small_batches
+from timbrel.llm.common import bucket_bits, documents, hash_bucket, materialize, ranked, small_batches, trimmed
 from timbrel.llm.tokens import encoded, vocabulary
 
 CAPACITY = 2048
@@ -54,7 +54,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.record_batch(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
-    return run
+    return trimmed(run)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -26,9 +26,9 @@ from timbrel.llm.common import byte_texts, steps
 
 END = 0
 #: Chunks that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Bytes of text whose chunks are looked up together.
-STEP = 4 << 20
+STEP = 2 << 20
 #: Chunks in one text.
 JOINED = 4096
 
