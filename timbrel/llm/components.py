@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from timbrel.llm.common import materialize, release
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+def _done(edges: DataFrame) -> bool:
+    """Is every node either a centre or points at one centre only?"""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("out")), F.struct(F.col("v").alias("n"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("n").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return nodes.filter("out > 1 OR (out = 1 AND least = 0)").isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,19 +24,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     orderable type. Null ends, loops and repeated edges don't count; no edges give no rows."""
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     star = materialize(ends.distinct(), "edges")
-    state = _state(star)
-    while state[0]:
+    while not _done(star):
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).withColumn("m", F.least("n", "m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         moved = large.join(least, F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         after = materialize(moved.filter("u != v").distinct(), "edges")
-        found = _state(after)
         release(star)
         star = after
-        if found == state:
-            break
-        state = found
     roots = star.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -391,14 +391,12 @@ def _differences(k, num, den):
 def _beside(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Rows (a, fan, salt, role, doc_id, text), sorted, for tasks that read each pair's texts side by side: a's text (role 0),
     then those of its partners. Each pair ships one text; a document with many partners is dealt to many tasks."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = materialize(docs.join(small(ids), "doc_id", "left_semi"), "texts")
     fans = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan")), "fans")
     dealt = pairs.join(small(fans), "a").select("a", "fan", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), "b")
     dealt = materialize(dealt, "dealt")
-    one = texts.join(small(fans), F.col("doc_id") == F.col("a")).select("a", "fan", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), "doc_id", "text")
-    two = texts.join(small(dealt), F.col("doc_id") == F.col("b")).select("a", "fan", "salt", F.lit(1).alias("role"), "doc_id", "text")
-    return one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), [ids, texts, fans, dealt]
+    one = docs.join(small(fans), F.col("doc_id") == F.col("a")).select("a", "fan", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), "doc_id", "text")
+    two = docs.join(small(dealt), F.col("doc_id") == F.col("b")).select("a", "fan", "salt", F.lit(1).alias("role"), "doc_id", "text")
+    return one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), [fans, dealt]
 
 
 def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -427,12 +425,11 @@ def _torn(stars: DataFrame, own: DataFrame) -> DataFrame:
     return out
 
 
-def _centred(torn: DataFrame, stars: DataFrame) -> DataFrame:
+def _centred(stars: DataFrame, compared: DataFrame) -> DataFrame:
     """Stars around a more central set: of the partners of a first set, the one that is nearest to it has the fewest
     elements of its own, so what is left of the others are their own differences."""
-    near = torn.join(stars.select("a", "b", "apart"), ["a", "b"])
-    best = near.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("centre"))
-    members = torn.select("a", "b").unionByName(best.select("a", F.col("a").alias("b")))
+    best = compared.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("centre"))
+    members = stars.select("a", "b").unionByName(best.select("a", F.col("a").alias("b")))
     moved = members.join(best, "a").filter("b != centre").select(F.col("centre").alias("a"), "b").distinct()
     return materialize(moved, "centred")
 
@@ -593,27 +590,17 @@ def _links(docs: DataFrame, member: DataFrame, final: DataFrame, k: int, num: in
 
 
 def _between(docs: DataFrame, stars: DataFrame, member: DataFrame, linked: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of large stars that together with ``linked`` form their classes. Stars of one class need none."""
-    own = _classed(member, linked)
-    apart = _torn(stars, own)
-    release(own)
-    if apart.isEmpty():
-        release(apart)
-        return linked.limit(0)
-    stars = apart.select("a", "b")
+    """Links (a, b) of large stars that together with ``linked`` form their classes."""
+    ids = materialize(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    docs = materialize(docs.join(small(ids), "doc_id", "left_semi"), "texts")
     first = compared(docs, stars, k, num, den)
-    linked = linked.unionByName(first.filter("linked").select("a", "b"))
-    own = _classed(member, linked)
-    torn = _torn(stars, own)
-    centred = _centred(torn, first)
-    release(own, torn)
+    centred = _centred(stars, first)
     second = compared(docs, centred, k, num, den)
-    linked = linked.unionByName(second.filter("linked").select("a", "b"))
-    own = _classed(member, linked)
+    own = _classed(member, reduce(DataFrame.unionByName, [linked, *(x.filter("linked").select("a", "b") for x in (first, second))]))
     torn = _torn(centred, own)
     rest = _meeting(docs, torn, own, k, num, den)
     late = compared(docs, rest, k, num, den)
-    release(own, apart, torn, centred, rest)
+    release(own, torn, centred, rest, ids, docs)
     return reduce(DataFrame.unionByName, [x.filter("linked").select("a", "b") for x in (first, second, late)])
 
 
