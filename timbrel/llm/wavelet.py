@@ -7,8 +7,8 @@ gets the id at any place, counts an id in any range and finds its occurrences, w
 decoded plane by plane. Planes are compressed one by one.
 
 Writing: documents are range-partitioned by id and sorted, encoded, and cut into shards within a partition; a worker holds
-one shard at a time. Spark writes each shard into the shared folder as a file of its own, with one binary row and the
-shard's place and size beside it, so any file system that Spark can write will do and a lost task writes its files again.
+one shard at a time. Spark writes the files into the shared folder, one binary row each, so any file system that Spark can
+write will do and a lost task writes its rows again.
 
 Cases: null and empty text is the end id alone; a null id sorts first; rows with one id are kept each, in an order fixed
 by their text; a document longer than a shard has a shard of its own; an empty table has no shards; other columns are
@@ -206,7 +206,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_tokens: int = S
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return materialize(ordered.mapInArrow(_write(path or vocabulary(VOCABULARY), shard_tokens), "part int, shard int, tokens bigint, file binary"), "shards", maxRecordsPerFile=1)
+    return materialize(ordered.mapInArrow(_write(path or vocabulary(VOCABULARY), shard_tokens), "part int, shard int, tokens bigint, file binary"), "shards")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
