@@ -158,7 +158,7 @@ class Encoder:
             text = _BETWEEN.encode().join([*chunks[i : i + JOINED], b""])
             written = (text if self.space else text.decode().lower().encode()).decode("latin-1").replace(" ", _WRITTEN[32])
             if not text.isascii():
-                for byte in range(128, 161):
+                for byte in (*range(128, 161), 173):
                     written = written.replace(chr(byte), _WRITTEN[byte])
             texts.append(written)
         found = [x.ids for x in self.merges.encode_batch_fast(texts, add_special_tokens=False)]
