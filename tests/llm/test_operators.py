@@ -552,3 +552,17 @@ def test_wavelet_tokens_of_each_latin_letter(spark):
         ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes())), text
         at += len(ids)
+
+
+def test_packing_pieces_of_each_latin_letter(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary(packing.VOCABULARY))
+    got = packing.pack_documents(table(spark, list(enumerate(ODD_LETTERS))), capacity=4).collect()
+    found = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got}
+    want = {}
+    for i, text in enumerate(ODD_LETTERS):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want |= {(i, n): (at, len(ids[at : at + 4]), zlib.crc32(ids[at : at + 4].tobytes())) for n, at in enumerate(range(0, len(ids), 4))}
+    assert found == want and len(got) == len(want)
+    check_packed(got, 4)
