@@ -98,3 +98,19 @@ def test_lines_end_at_line_ends_only(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r["log_path"][-5], r["line_number"], r["raw"]) for r in rows) == sorted((str(n), i + 1, f"{n} {i}") for n in range(3) for i in range(500))
+
+
+def test_mixed_formats_round_times_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    from timbrel import queries
+
+    # Rounded to the millisecond, the first two lie in one second and the third in the next minute's first.
+    micros = [1_000_000, 999_500, 59_999_600, 60_000_000, 2_000_499, 2_000_501, 2_000_900, 3_999_499, 86_399_999_900]
+    stamps = [dt.datetime(2024, 1, 31) + dt.timedelta(microseconds=us) for us in micros]
+    rows = [(i, ts, i, ("click", "error", "signup")[i % 9 // 4]) for i, ts in enumerate(stamps)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, queries.QUERIES["mixed_formats_parse"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert got == sorted(db.sql(queries.ORACLE_SQL["mixed_formats_parse"]).fetchall())

@@ -291,8 +291,10 @@ def access_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` rendered as the lines of five logs of different formats."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    """``events`` rendered as the lines of five logs of different formats. Times are rounded to the millisecond, halves away
+    from zero, as DuckDB's epoch_ms does."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = e.withColumn("t", F.timestamp_millis(F.expr("(t + IF(t < 0, -500, 500)) DIV 1000")))
     iso, bsd = F.date_format("t", "yyyy-MM-dd HH:mm:ss,SSS"), F.concat(F.date_format("t", "MMM "), F.lpad(F.date_format("t", "d"), 2, " "), F.date_format("t", " HH:mm:ss"))
     word = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
     what = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" did "), F.col("event_type"))
