@@ -32,13 +32,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents: without given weights the Pfair schedule goes on until every source has run out."""
+    """All documents, in the order of the Pfair schedule, which without given weights goes on until every source has run
+    out. The order is the rows' own, and the next stage packs in it."""
     return take_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
-    return pack_documents(docs)
+    """The pieces of all documents in sequences of 2048 tokens, which follow the order of the documents."""
+    return pack_documents(docs, in_order=True)
 
 
 STAGES = [("quality", quality), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing", mixture), ("best-fit packing", packing)]

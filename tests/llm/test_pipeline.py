@@ -96,3 +96,36 @@ def test_stages_and_run_against_brute_force(spark, rows, folder):
         assert 0 <= r["offset"] and r["offset"] + r["length"] <= 2048
     assert max(ends.values()) <= 2048
     assert sizes == {i: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for i, t, _ in left}
+
+
+def test_packing_follows_the_mix(spark, rows, folder, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = common.documents(spark, folder)
+    plain = sorted(sorted((r["offset"], r["length"]) for r in group) for group in _sequences(packing.pack_documents(docs)).values())
+    mixed = stages["mixing"](spark, docs, folder)
+    order = [r["doc_id"] for r in mixed.collect()]
+    written = {}
+    for name, df, want in (("mixed", mixed, order), ("reversed", spark.createDataFrame(mixed.collect()[::-1], SCHEMA), order[::-1])):
+        # More files than the reader takes in their order: sizes differ.
+        df.write.option("maxRecordsPerFile", 50).parquet(f"{tmp_path}/{name}")
+        out = stages["best-fit packing"](spark, spark.read.parquet(f"{tmp_path}/{name}"), folder)
+        place = {d: i for i, d in enumerate(want)}
+        groups = _sequences(out)
+        assert sorted(groups) == list(range(len(groups))) and out.columns == packing.pack_documents(docs).columns
+        # The same sequences by shape, in the order of their first pieces' documents.
+        assert sorted(sorted((r["offset"], r["length"]) for r in group) for group in groups.values()) == plain
+        first = [min(groups[s], key=lambda r: r["offset"]) for s in sorted(groups)]
+        at = [(place[r["doc_id"]], r["piece"]) for r in first]
+        assert at == sorted(at)
+        written[name] = [r["doc_id"] for r in first]
+    assert written["mixed"] != written["reversed"]
+    # Rows that are not of files: in the order of partitions.
+    out = stages["best-fit packing"](spark, spark.createDataFrame(mixed.collect(), SCHEMA), folder)
+    assert [min(g, key=lambda r: r["offset"])["doc_id"] for _, g in sorted(_sequences(out).items())] == written["mixed"]
+
+
+def _sequences(packed):
+    groups = {}
+    for r in packed.collect():
+        groups.setdefault(r["sequence_id"], []).append(r)
+    return groups
