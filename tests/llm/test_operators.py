@@ -566,3 +566,23 @@ def test_packing_pieces_of_each_latin_letter(spark):
         want |= {(i, n): (at, len(ids[at : at + 4]), zlib.crc32(ids[at : at + 4].tobytes())) for n, at in enumerate(range(0, len(ids), 4))}
     assert found == want and len(got) == len(want)
     check_packed(got, 4)
+
+
+def test_packing_query_on_odd_rows(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain.encode_special_tokens = True  # as the vocabularies' README says
+    rng = random.Random(7)
+    parts = ["The", "don't", "I'LL ", "día", "DÍA ", "é", "İ", "İ", "ς", "≠", "K", "3.14", "…", "日本", " ", "　", "\x85", "\x00", " \n", "<|endoftext|>", "<|startoftext|>", "</w>"]
+    rows = list(enumerate([None, "", " \t\n", "x" * 9000, *("the " * n for n in (2046, 2047, 2048, 4095, 4096)), *("".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(300))]))
+    rows += [(-1, "below zero"), (2, "an id twice"), (None, "no id"), (None, None)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op9_best_fit_packing(spark, str(tmp_path)).collect()
+    want = Counter()
+    for i, text in rows:
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((i, n, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for n, at in enumerate(range(0, len(ids), 2048)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    check_packed(got, 2048)
