@@ -586,3 +586,49 @@ def test_packing_query_on_odd_rows(spark, tmp_path):
         want.update((i, n, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for n, at in enumerate(range(0, len(ids), 2048)))
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     check_packed(got, 2048)
+
+
+def near_copies(seed, classes=6):
+    rng = np.random.default_rng(seed)
+    rows = [(i, t) for i, t in TEXTS if i]
+    for _ in range(classes):
+        first = [f"w{x}" for x in rng.integers(0, 400, rng.integers(20, 70))]
+        for _ in range(8):
+            copy = list(first)
+            for at in rng.integers(0, len(copy), rng.integers(0, 3)):
+                copy[at] = f"v{rng.integers(50)}"
+            rows.append((len(rows) + 100, " ".join(copy)))
+    return rows
+
+
+def test_ngram_join_of_few_rows_writes_few_tables(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "STAR", 2)  # all steps run
+    written, path = [], common.scratch_path
+    monkeypatch.setattr(common, "scratch_path", lambda session, name: written.append(name) or path(session, name))
+    rows = near_copies(8)
+    got = ngram_join.similar_classes(table(spark, rows), 4, 85, 100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(rows, 4, 85, 100)
+    assert "links" in written and len(written) <= 18, written
+
+
+@pytest.mark.parametrize("most", [1, 40])
+def test_ngram_join_of_many_rows_gives_the_same(spark, monkeypatch, most):
+    for name in ("FEW", "BROADCAST_IDS"):
+        for module in (common, ngram_join):
+            monkeypatch.setattr(module, name, most)
+    monkeypatch.setattr(ngram_join, "STAR", 6)
+    rows = near_copies(9)
+    sets = {i: {tuple(words(t)[j : j + 4]) for j in range(max(1, len(words(t)) - 3))} - {()} for i, t in rows}
+    similar = lambda x, y: bool(x & y) and 100 * len(x & y) >= 85 * len(x | y)
+    got = ngram_join.similar_classes(table(spark, [*rows, rows[3], rows[-1]]), 4, 85, 100).distinct().collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(rows, 4, 85, 100)
+    assert {r["doc_id"]: r["links"] for r in got} == {i: sum(similar(x, y) for j, y in sets.items() if j != i) for i, x in sets.items()}
+
+
+def test_components_of_few_edges(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))] + [(i + 1, i) for i in range(200, 230)] + [(None, 3), (5, 5)]
+    edges = spark.createDataFrame(edges, "a long, b long")
+    want = {(r["node"], r["component"]) for r in components.components(edges).collect()}
+    assert {(r["node"], r["component"]) for r in components.components_of_few(edges).collect()} == want
+    assert components.components_of_few(edges.limit(0)).count() == 0

@@ -120,9 +120,32 @@ BROADCAST_IDS = 250_000
 
 def small(table: DataFrame) -> DataFrame:
     """A written table, to be broadcast if its rows were counted and are few."""
+    if rows_of(table) <= BROADCAST_IDS:
+        return table
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
+#: Rows that the driver takes at once.
+FEW = 100_000
+
+
+def local(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """A bounded table of the driver, to be broadcast: no task writes or reads it."""
+    out = F.broadcast(spark.createDataFrame(table))
+    out._rows = table.num_rows
+    return out
+
+
+def rows_of(df: DataFrame) -> float:
+    """The rows of a ``local`` table; of any other, not known to be few."""
+    return getattr(df, "_rows", float("inf"))
+
+
+def gathered(df: DataFrame, name: str, most: float) -> DataFrame:
+    """``df``, of no more than ``most`` rows, from the driver if those are few; else written as by ``materialize``."""
+    return local(df.sparkSession, df.toArrow()) if most <= FEW else materialize(df, name)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], members: str) -> DataFrame:
     """``rows`` with the columns of their group in ``groups`` (unique ``keys`` without nulls, number of ``members``). A group
     with a third of all rows is no task of its own: groups of more than one in BROADCAST_IDS of all rows, so BROADCAST_IDS
@@ -138,12 +161,21 @@ def trimmed(run):
     """A function of Arrow batches that gives freed memory back when its task ends; the worker process lives on."""
 
     def whole(batches):
+        some = False
+
+        def counted():
+            nonlocal some
+            for batch in batches:
+                some = True
+                yield batch
+
         try:
-            yield from run(batches)
+            yield from run(counted())
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(_libc(), "malloc_trim", None):
-                trim(0)
+            if some:
+                pa.default_memory_pool().release_unused()
+                if trim := getattr(_libc(), "malloc_trim", None):
+                    trim(0)
 
     return whole
 

@@ -43,8 +43,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import byte_texts, documents, drop_ids, drop_shuffles, join_groups, materialize, release, small, small_batches, steps, trimmed
-from timbrel.llm.components import components
+from timbrel.llm.common import BROADCAST_IDS, FEW, byte_texts, documents, drop_ids, drop_shuffles, gathered, local, materialize, release, rows_of, small, small_batches, steps, trimmed
+from timbrel.llm.components import components, components_of_few
 from timbrel.llm.shingles import mix, shingle_sets
 
 #: Comparisons of one set that stay in one task.
@@ -390,13 +390,34 @@ def _differences(k, num, den):
 
 def _beside(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Rows (a, fan, salt, role, doc_id, text), sorted, for tasks that read each pair's texts side by side: a's text (role 0),
-    then those of its partners. Each pair ships one text; a document with many partners is dealt to many tasks."""
+    then those of its partners. Each pair ships one text; a document with many partners is dealt to many tasks. Few pairs
+    are dealt on the driver."""
+    if pairs.count() <= FEW:
+        return _side_by_side(docs, *_dealt(pairs)), []
     fans = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan")), "fans")
     dealt = pairs.join(small(fans), "a").select("a", "fan", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), "b")
     dealt = materialize(dealt, "dealt")
-    one = docs.join(small(fans), F.col("doc_id") == F.col("a")).select("a", "fan", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), "doc_id", "text")
-    two = docs.join(small(dealt), F.col("doc_id") == F.col("b")).select("a", "fan", "salt", F.lit(1).alias("role"), "doc_id", "text")
-    return one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), [fans, dealt]
+    firsts = small(fans).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
+    return _side_by_side(docs, firsts, small(dealt)), [fans, dealt]
+
+
+def _side_by_side(docs: DataFrame, firsts: DataFrame, dealt: DataFrame) -> DataFrame:
+    one = docs.join(firsts, F.col("doc_id") == F.col("a")).select("a", "fan", "salt", F.lit(0).alias("role"), "doc_id", "text")
+    two = docs.join(dealt, F.col("doc_id") == F.col("b")).select("a", "fan", "salt", F.lit(1).alias("role"), "doc_id", "text")
+    return one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id")
+
+
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, fan, salt) for each task of a first set, and (a, fan, salt, b) for each pair, to be broadcast."""
+    found = pairs.select("a", "b").toArrow()
+    a, b = (found.column(c).to_numpy() for c in ("a", "b"))
+    first, place, many = np.unique(a, return_inverse=True, return_counts=True)
+    fan = -(-many // FAN)
+    salt = (mix(b.view(np.uint64)) % fan[place].astype(np.uint64)).astype(np.int32)
+    each = np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan)
+    firsts = pa.table({"a": np.repeat(first, fan), "fan": np.repeat(fan, fan).astype(np.int32), "salt": each.astype(np.int32)})
+    dealt = pa.table({"a": a, "fan": fan[place].astype(np.int32), "salt": salt, "b": b})
+    return local(pairs.sparkSession, firsts), local(pairs.sparkSession, dealt)
 
 
 def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -407,20 +428,24 @@ def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
     return out
 
 
-def _classed(member: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rep, class) of each distinct set, from the links so far."""
-    found = components(edges)
-    reps = member.select("rep").distinct()
-    return materialize(reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("class")), "own")
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, component), to be broadcast if the edges are few."""
+    return components_of_few(edges) if edges.count() <= FEW else components(edges)
+
 
+def _with_class(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the class of a representative, by the components found so far; one without links is its own class."""
+    found = found.select(F.col("node").alias("_node"), F.col("component").alias("_class"))
+    return rows.join(found, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_class", column)).drop("_node", "_class")
 
-def _torn(stars: DataFrame, own: DataFrame) -> DataFrame:
+
+def _torn(stars: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b, class_b) of first sets whose partners are of more than one class. Classes are looked up for
     partners; a star is then one row with its least and greatest class."""
-    classed = materialize(stars.select("a", "b").join(own.select(F.col("rep").alias("b"), F.col("class").alias("class_b")), "b").select("a", "b", "class_b"), "classed")
+    classed = materialize(_with_class(stars.select("a", "b"), found, "b", "class_b"), "classed")
     ends = classed.groupBy("a").agg(F.min("class_b").alias("low"), F.max("class_b").alias("high"))
-    torn = ends.join(own, F.col("a") == F.col("rep")).filter("low != high OR low != class").select("a")
-    out = materialize(classed.join(small(materialize(torn, "ids")), "a", "left_semi"), "torn")
+    torn = _with_class(ends, found, "a", "class").filter("low != high OR low != class").select("a")
+    out = materialize(classed.join(small(gathered(torn, "ids", classed.count())), "a", "left_semi"), "torn")
     release(classed)
     return out
 
@@ -428,13 +453,13 @@ def _torn(stars: DataFrame, own: DataFrame) -> DataFrame:
 def _centred(stars: DataFrame, compared: DataFrame) -> DataFrame:
     """Stars around a more central set: of the partners of a first set, the one that is nearest to it has the fewest
     elements of its own, so what is left of the others are their own differences."""
-    best = compared.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("centre"))
+    best = gathered(compared.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("centre")), "best", compared.count())
     members = stars.select("a", "b").unionByName(best.select("a", F.col("a").alias("b")))
     moved = members.join(best, "a").filter("b != centre").select(F.col("centre").alias("a"), "b").distinct()
     return materialize(moved, "centred")
 
 
-def _meeting(docs: DataFrame, torn: DataFrame, own: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _meeting(docs: DataFrame, torn: DataFrame, found: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b), a < b, that may be similar though in different classes, among partners of one first set."""
     rows, tables = _beside(docs, torn.select("a", "b"))
     parts = materialize(rows.mapInArrow(_differences(k, num, den), "a bigint, b bigint, n_a bigint, n_b bigint, size bigint, fan bigint, often bigint, d bigint"), "differences")
@@ -450,8 +475,7 @@ def _meeting(docs: DataFrame, torn: DataFrame, own: DataFrame, k: int, num: int,
     full = F.col("size") + 1 - least(F.col("size") - c * (F.col("n_a") + F.col("n_b")))
     near = (den + num) * F.col("size") <= (den - num) * (F.col("n_a") + F.col("n_b"))
     kept = placed.withColumn("near", near).withColumn("half", F.col("place") <= half).filter(F.col("half") | (~F.col("near") & (F.col("place") <= full)))
-    two = own.select(F.col("rep").alias("b"), F.col("class").alias("class_b"))
-    kept = materialize(kept.select("a", "d", "b", "n_b", "size", "place", "near", "half").join(two, "b"), "prefixes")
+    kept = materialize(_with_class(kept.select("a", "d", "b", "n_b", "size", "place", "near", "half"), found, "b", "class_b"), "prefixes")
     release(parts)
     x = kept.filter("half").select("a", "d", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("size").alias("s_x"), F.col("place").alias("p_x"), F.col("near").alias("near_x"), F.col("class_b").alias("class_x"))
     y = kept.filter("NOT near").select("a", "d", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("size").alias("s_y"), F.col("place").alias("p_y"), F.col("half").alias("half_y"), F.col("class_b").alias("class_y"))
@@ -541,14 +565,24 @@ def _inside(k: int, num: int, den: int):
     return trimmed(run)
 
 
-def _within(docs: DataFrame, stars: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside stars of bounded size; each star's texts meet in one task."""
-    members = materialize(stars.unionByName(stars.select("a", F.col("a").alias("b")).distinct()), "members")
-    ids = materialize(members.select(F.col("b").alias("doc_id")).distinct(), "ids")
+def _texts(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``docs`` with these ids (doc_id, repeated ones too)."""
+    if ids.count() <= BROADCAST_IDS:
+        texts = materialize(docs.join(F.broadcast(ids), "doc_id", "left_semi"), "texts")
+        return texts, [texts]
+    ids = materialize(ids.distinct(), "ids")
     texts = materialize(docs.join(small(ids), "doc_id", "left_semi"), "texts")
-    rows = texts.join(small(members), F.col("doc_id") == F.col("b")).select("a", "doc_id", "text")
+    return texts, [ids, texts]
+
+
+def _within(docs: DataFrame, stars: DataFrame, centres: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside stars of bounded size, with their ``centres`` (a); each star's texts meet in one task."""
+    members = materialize(stars.unionByName(centres.select("a", F.col("a").alias("b"))), "members")
+    few = members.count() <= BROADCAST_IDS
+    texts, tables = (docs, []) if few else _texts(docs, members.select(F.col("b").alias("doc_id")))
+    rows = texts.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("b")).select("a", "doc_id", "text")
     out = materialize(rows.repartition("a").sortWithinPartitions("a", "doc_id").mapInArrow(_inside(k, num, den), "a bigint, b bigint"), "links")
-    release(members, ids, texts)
+    release(members, *tables)
     return out
 
 
@@ -575,35 +609,53 @@ def _count(k: int, num: int, den: int):
 def _links(docs: DataFrame, member: DataFrame, final: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, links): the number of other documents that each document is similar to, copies included. All links are
     inside a class; its distinct sets are dealt to slices, and each pair of slices is compared in one task."""
-    sets = member.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).join(final, F.col("rep") == F.col("node"), "left")
-    sets = materialize(sets.select("rep", "copies", F.coalesce("component", "rep").alias("class")), "sets")
+    # Of few components a set that is in none has no links.
+    most = rows_of(final)
+    sets = member.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).join(final, F.col("rep") == F.col("node"), "inner" if most <= FEW else "left")
+    sets = gathered(sets.select("rep", "copies", F.coalesce("component", "rep").alias("class")), "sets", most)
     sizes = sets.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    inside = materialize(sets.join(sizes, "class").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")), "inside")
+    inside = gathered(sets.join(sizes, "class").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")), "inside", most)
     rows = docs.join(small(inside), F.col("doc_id") == F.col("rep")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     rows = rows.select("class", F.least("slice", "other").alias("one"), F.greatest("slice", "other").alias("two"), "slice", "doc_id", "copies", "text")
     rows = rows.repartition("class", "one", "two").sortWithinPartitions("class", "one", "two", "slice", "doc_id")
-    more = rows.mapInArrow(_count(k, num, den), "rep bigint, more bigint").groupBy("rep").agg(F.sum("more").alias("more"))
-    total = sets.select("rep", "copies").join(more, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links")).filter("links > 0")
-    total = materialize(total, "total")
+    more = rows.mapInArrow(_count(k, num, den), "rep bigint, more bigint").unionByName(sets.select("rep", (F.col("copies") - 1).alias("more")))
+    total = gathered(more.groupBy("rep").agg(F.sum("more").alias("links")).filter("links > 0"), "total", most)
     release(sets, inside)
-    return member.join(small(total), "rep").groupBy("doc_id").agg(F.max("links").alias("links"))
+    many = member.join(small(total), "rep").groupBy("doc_id").agg(F.max("links").alias("links"))
+    return gathered(many, "many", most) if most <= FEW else many
 
 
-def _between(docs: DataFrame, stars: DataFrame, member: DataFrame, linked: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _between(docs: DataFrame, stars: DataFrame, linked: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) of large stars that together with ``linked`` form their classes."""
-    ids = materialize(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    docs = materialize(docs.join(small(ids), "doc_id", "left_semi"), "texts")
+    docs, tables = _texts(docs, stars.select(F.explode(F.array("a", "b")).alias("doc_id")))
     first = compared(docs, stars, k, num, den)
     centred = _centred(stars, first)
     second = compared(docs, centred, k, num, den)
-    own = _classed(member, reduce(DataFrame.unionByName, [linked, *(x.filter("linked").select("a", "b") for x in (first, second))]))
-    torn = _torn(centred, own)
-    rest = _meeting(docs, torn, own, k, num, den)
+    found = _components(reduce(DataFrame.unionByName, [linked, *(x.filter("linked").select("a", "b") for x in (first, second))]))
+    torn = _torn(centred, found)
+    rest = _meeting(docs, torn, found, k, num, den)
     late = compared(docs, rest, k, num, den)
-    release(own, torn, centred, rest, ids, docs)
+    release(torn, centred, rest, *tables)
     return reduce(DataFrame.unionByName, [x.filter("linked").select("a", "b") for x in (first, second, late)])
 
 
+def _represented(full: DataFrame) -> DataFrame:
+    """(doc_id, n, rep) of ``full`` (doc_id, n, one, two): the smallest id of those with the same digest. Only sets with
+    copies are looked up; of those, few are broadcast, and else the ones with many copies."""
+    keys = ["one", "two", "n"]
+    same = full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    same = gathered(same, "groups", full.count() // 2)
+    many, members = same.agg(F.count(F.lit(1)), F.sum("members")).first()
+    most = 0 if many <= BROADCAST_IDS else max(256, -(-members // BROADCAST_IDS))
+    rows = full.join(F.broadcast(same.filter(F.col("members") > most)), keys, "left")
+    if most:
+        rest = rows.filter("rep IS NULL").select(full.columns).join(same.filter(F.col("members") <= most), keys, "left")
+        rows = rows.filter("rep IS NOT NULL").unionByName(rest)
+    rows = rows.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    once = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty()
+    return materialize(rows if once else rows.distinct(), "member")
+
+
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The digests of all rows, each document's representative, and the components of all links."""
     spark = docs.sparkSession
@@ -612,8 +664,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     drop_shuffles(spark)
     digests = materialize(docs.mapInArrow(_digest(k), "doc_id bigint, n_shingles bigint, one bigint, two bigint"), "digests")
     full = digests.filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "one", "two")
-    same = full.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    member = materialize(join_groups(full, same, ["one", "two", "n"], "members").select("doc_id", "n", "rep").distinct(), "member")
+    member = _represented(full)
 
     # A document of n shingles has about 1.5 * (den - num) / den * n * 3 signatures; a bucket has some half a million.
     shingles = member.agg(F.sum("n")).first()[0] or 0
@@ -621,24 +672,25 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     signed = known.mapInArrow(_sign(k, num, den, buckets), _BLOBS).repartition("bucket").sortWithinPartitions("bucket", "load")
     met = materialize(signed.mapInArrow(trimmed(_meet), _MET), "met")
     drop_shuffles(spark)
-    named = met.repartition("load").sortWithinPartitions("load", "kind").mapInArrow(trimmed(_spread), "a bigint, b bigint").distinct()
-    rep = small(materialize(member.select(F.col("doc_id").alias("_doc"), "rep").filter("_doc != rep"), "copies"))
+    named = met.repartition("load").sortWithinPartitions("load", "kind").mapInArrow(trimmed(_spread), "a bigint, b bigint")
+    rep = small(member.filter("doc_id != rep").select(F.col("doc_id").alias("_doc"), "rep"))
     for side in ("a", "b"):
         named = named.join(rep.withColumnsRenamed({"_doc": f"_{side}", "rep": f"r{side}"}), F.col(side) == F.col(f"_{side}"), "left").withColumn(side, F.coalesce(f"r{side}", side)).select("a", "b")
     stars = materialize(named.filter("a != b").distinct(), "stars")
     release(met)
     equal = member.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    reps = small(materialize(member.select(F.col("rep").alias("_rep"), "n").distinct(), "reps"))
+    reps = small(member.filter("doc_id = rep").select(F.col("rep").alias("_rep"), "n"))
     sizes = stars.join(reps, F.col("b") == F.col("_rep")).groupBy("a").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
-    sizes = materialize(sizes.filter((F.col("members") >= STAR) | (F.col("shingles") > STAR_SHINGLES)).select("a"), "sizes")
-    linked = _within(known, stars.join(small(sizes), "a", "left_anti"), k, num, den)
-    large = materialize(stars.join(small(sizes), "a", "left_semi"), "large")
+    sizes = gathered(sizes.select("a", ((F.col("members") >= STAR) | (F.col("shingles") > STAR_SHINGLES)).alias("large")), "sizes", stars.count())
+    wide = small(sizes.filter("large").select("a"))
+    linked = _within(known, stars.join(wide, "a", "left_anti"), sizes.filter("NOT large").select("a"), k, num, den)
+    large = materialize(stars.join(wide, "a", "left_semi"), "large")
     release(stars, sizes)
     drop_shuffles(spark)
     if not large.isEmpty():
-        linked = linked.unionByName(_between(known, large, member, linked, k, num, den))
+        linked = linked.unionByName(_between(known, large, linked, k, num, den))
         drop_shuffles(spark)
-    final = components(linked.unionByName(equal))
+    final = _components(linked.unionByName(equal))
     return digests, member, final
 
 
@@ -656,7 +708,7 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     number of other documents that the document itself links to."""
     docs = _typed(docs)
     digests, member, final = _classes(docs, k, num, den)
-    many = _links(docs.filter(F.col("doc_id").isNotNull()), member, final, k, num, den).withColumnRenamed("doc_id", "node")
+    many = _links(docs.filter(F.col("doc_id").isNotNull()), member, final, k, num, den).select(F.col("doc_id").alias("node"), "links")
     return _placed(digests, final).join(many, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
