@@ -632,3 +632,18 @@ def test_components_of_few_edges(spark):
     want = {(r["node"], r["component"]) for r in components.components(edges).collect()}
     assert {(r["node"], r["component"]) for r in components.components_of_few(edges).collect()} == want
     assert components.components_of_few(edges.limit(0)).count() == 0
+
+
+def test_byte_chunks_stay_remembered_and_are_merged_in_short_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 1000)
+    path = tokens.vocabulary(wavelet.VOCABULARY)
+    encoder, plain, merged = tokens.Encoder(path, True), tokens.load(path), []
+    merge = encoder._merged
+    monkeypatch.setattr(encoder, "_merged", lambda chunks: merged.append(len(chunks)) or merge(chunks))
+    rng = random.Random(4)
+    many = list({"".join(rng.choice("abcdeéñ") for _ in range(9)) for _ in range(1500)})[:1400]
+    for some in (many[:700], many[700:], many[:50]):
+        text = " ".join(["", *some])
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert encoder.encode(data, np.array([0, len(data)]))[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+    assert merged == [700, 700] and tokens.JOINED <= 256

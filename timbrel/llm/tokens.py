@@ -25,12 +25,13 @@ import pyarrow as pa
 from timbrel.llm.common import byte_texts, steps
 
 END = 0
-#: Chunks that a worker remembers.
+#: Chunks that a worker remembers; of byte BPE, whose chunks have more forms, BYTE_FORMS times as many.
 REMEMBERED = 600_000
+BYTE_FORMS = 1.6
 #: Bytes of text whose chunks are looked up together.
 STEP = 2 << 20
-#: Chunks in one text.
-JOINED = 4096
+#: Chunks in one text; the library takes less time for each in a short text.
+JOINED = 128
 
 #: Chunks that are one piece, in byte BPE and in word BPE; none of the letters is composed anew.
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
@@ -123,6 +124,7 @@ class Encoder:
         from tokenizers import normalizers, pre_tokenizers
 
         self.tokenizer, self.space = load(path), space
+        self.most = int(REMEMBERED * (BYTE_FORMS if space else 1))
         self.merges = load(path)
         self.merges.normalizer = normalizers.Sequence([])
         self.merges.pre_tokenizer = pre_tokenizers.Split(_BETWEEN, "isolated")
@@ -132,7 +134,8 @@ class Encoder:
     def _forget(self) -> None:
         """Keeps the chunks that were seen again, the most frequent half at most."""
         often = self.seen if hasattr(self, "seen") else np.zeros(0, np.int64)
-        least = int(np.partition(often, -(REMEMBERED // 2))[-(REMEMBERED // 2)]) if len(often) > REMEMBERED // 2 else 1
+        half = self.most // 2
+        least = int(np.partition(often, -half)[-half]) if len(often) > half else 1
         again = often > max(1, least)
         if not again.any():
             self.number: dict[bytes, int] = {}
@@ -170,7 +173,7 @@ class Encoder:
 
     def _numbers(self, chunks: list[bytes]) -> np.ndarray:
         """The place of each distinct chunk among the remembered ones."""
-        if len(self.number) + len(chunks) > REMEMBERED:
+        if len(self.number) + len(chunks) > self.most:
             self._forget()
         numbers = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
         unknown = np.flatnonzero(numbers < 0)
